@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, licenses, lm, mixing, quality, simhash, substrings
+from . import bpe, dedup, langid, licenses, lines, lm, mixing, quality, simhash, substrings
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -47,6 +47,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "host", "n_pages", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(_documents(spark, sf_dir), k=3, bits=2)
     return found.select("doc_id", simhash.hex_of("fp0").alias("fingerprint"), "component_id")
@@ -61,11 +66,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_dedup, op3_ppm, op4_licenses, op5_quality, op6_substrings, op8_simhash, op9_mixing, op10_langid)
+    f.__name__: f for f in (op1_bpe, op2_dedup, op3_ppm, op4_licenses, op5_quality, op6_substrings, op7_lines, op8_simhash, op9_mixing, op10_langid)
 }
 
 ORACLES: dict[str, str] = {
     "op2_dedup": dedup.CLASSES_SQL,
     "op6_substrings": substrings.REMOVED_SQL,
+    "op7_lines": lines.DEDUP_SQL,
     "op9_mixing": mixing.MIX_SQL,
 }
