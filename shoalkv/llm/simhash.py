@@ -15,9 +15,10 @@ bits, then pairs of bits). After three cuts at most 8 + 3 bits are free, so no b
 can hold more than 2,048 distinct fingerprints: all links are found at any skew, in
 bounded memory, with no cap. Equal fingerprints are one node throughout.
 
-Wide fingerprints (``words`` > 1) are several such fingerprints with different seeds; a
-link then needs a signature in common in one of them and at most ``wide_bits`` differing
-bits in all. This makes the near-duplicate stage as strict as a similarity of shingles asks.
+``near_groups`` finds near copies by the similarity of their five-word shingles. Fingerprints of shingles lie too
+far apart for that (some nine bits of 64 at a similarity of 0.8), so candidates come from four fingerprints of the
+set of words, which lie some four bits apart, by the same signatures; a candidate pair is verified by 1,024 further
+bits over the shingles, whose distance estimates the similarity to about 0.02.
 
 Defined cases: null text counts as empty; a text with fewer words than a shingle
 has one shingle, its whole sequence; one without words has fingerprint zero, linked
@@ -28,6 +29,7 @@ empty table gives no rows; further columns are passed over by ``groups`` and kep
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -75,35 +77,38 @@ def fingerprint(text: bytes, k: int = 3, seed: int = SEED) -> int:
 def _majority(items: list[bytes], seed: int) -> int:
     if not items:
         return 0
-    h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(seed)), np.uint64, len(items))
+    return _majority_of(np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(seed)), np.uint64, len(items)))
+
+
+def _majority_of(h: np.ndarray) -> int:
+    """Bit by bit, whether it is set in more than half of the hashes."""
     ones = np.concatenate([np.bincount(c, minlength=256) @ _BITS for c in h.view(np.uint8).reshape(-1, 8).T])
-    return int(np.packbits(2 * ones > len(items), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, words: int = 1) -> DataFrame:
-    """Per row: doc_id and fp0, fp1, ... as signed longs. A map over partitions."""
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3) -> DataFrame:
+    """Per row: doc_id and fp0 as a signed long. A map over partitions."""
     rows = document(df, text, key)
     rows = rows.select("doc_id", rows.text.cast("binary").alias("text"))
-    names = [f"fp{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cut = [shingles(x, k) for x in batch.column(1).to_pylist()]
-            made = [pa.array([_majority(s, SEED + i) for s in cut], pa.int64()) for i in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *names])
+            made = pa.array([fingerprint(x, k) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["doc_id", "fp0"])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return rows.mapInArrow(run, "doc_id long, fp0 long")
 
 
-def local_forest(prints: np.ndarray, index: np.ndarray, bits: int, wide_bits: int) -> np.ndarray:
-    """For each of a bucket's fingerprints, the position of the first of its local component."""
+def local_forest(prints: np.ndarray, index: int, bits: int, first_wide: int = 1, wide_bits: int = 0) -> np.ndarray:
+    """For each of a bucket's fingerprints, the position of the first of its local component. Columns from ``first_wide`` on verify."""
     n = len(prints)
     same = np.bitwise_count(prints[:, None, index] ^ prints[None, :, index]) <= bits
-    if prints.shape[1] > 1:
-        far = np.zeros((n, n), np.int32)
-        for w in range(prints.shape[1]):
-            far += np.bitwise_count(prints[:, None, w] ^ prints[None, :, w])
-        same &= far <= wide_bits
+    if prints.shape[1] > first_wide:
+        at, to = np.nonzero(np.triu(same, 1))
+        for s in range(0, len(at), 1 << 16):
+            i, j = at[s : s + (1 << 16)], to[s : s + (1 << 16)]
+            far = np.bitwise_count(prints[i, first_wide:] ^ prints[j, first_wide:]).sum(axis=1, dtype=np.int64) > wide_bits
+            same[i[far], j[far]] = same[j[far], i[far]] = False
     label = np.arange(n)
     while True:
         least = np.where(same, label[None, :], n).min(axis=1)
@@ -112,7 +117,7 @@ def local_forest(prints: np.ndarray, index: np.ndarray, bits: int, wide_bits: in
         label = least
 
 
-def _sweep(words: int, bits: int, wide_bits: int):
+def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int):
     """Over rows (sig, word, node, prints) sorted by sig: links of nodes, or the members of large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +129,12 @@ def _sweep(words: int, bits: int, wide_bits: int):
             return pa.RecordBatch.from_arrays([none(a), none(b), none(sig), pa.nulls(n, pa.int32()) if word is None else pa.array(word, pa.int32())], names=["a", "b", "sig", "word"])
 
         def links(rows: np.ndarray, word: int) -> list[tuple]:
-            label = local_forest(rows[:, 1:].view(np.uint64), word, bits, wide_bits)
+            label = local_forest(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), word, bits, first_wide, wide_bits)
             at = np.flatnonzero(label != np.arange(len(label)))
             return [(rows[label[at], 0], rows[at, 0])] if len(at) else []
 
         def closed() -> list[tuple]:
-            rows = np.concatenate(held) if held else np.zeros((0, words + 2), np.int64)
+            rows = np.concatenate(held) if held else np.zeros((0, prints + 2), np.int64)
             return links(rows[:, 1:], int(rows[0, 0])) if len(rows) > 1 else []
 
         for batch in batches:
@@ -162,8 +167,8 @@ def _sweep(words: int, bits: int, wide_bits: int):
                     x, y = rest[pairs], rest[pairs + 1]
                     each = np.bitwise_count((x[:, 2:] ^ y[:, 2:]).view(np.uint64)).astype(np.int64)
                     near = each[np.arange(len(each)), x[:, 0]] <= bits
-                    if words > 1:
-                        near &= each.sum(axis=1) <= wide_bits
+                    if prints > first_wide:
+                        near &= each[:, first_wide:].sum(axis=1) <= wide_bits
                     if near.any():
                         found.append((x[near, 1], y[near, 1]))
                 for s, e in zip(edges[body][sizes[body] > 2].tolist(), ends[body][sizes[body] > 2].tolist(), strict=True):
@@ -187,52 +192,120 @@ def _sweep(words: int, bits: int, wide_bits: int):
     return run
 
 
-def links(nodes: DataFrame, bits: int, words: int = 1, wide_bits: int = 0) -> DataFrame:
-    """``nodes`` has ``node`` and fp0, fp1, ..., each combination once; returns links ``a``, ``b`` that keep the components."""
+def _signed(members: DataFrame, prints: list[str], cut: int) -> DataFrame:
+    """A row for each signature of each member: sig, word, node."""
+    chosen = F.element_at(F.array(*[F.col(p) for p in prints]), F.col("word") + 1)
+    each = members.select("node", "word", "sig", chosen.alias("chosen"), F.posexplode(F.array(*map(F.lit, masks(cut)))).alias("bit", "mask"))
+    return each.select(F.xxhash64("sig", "word", "bit", F.col("chosen").bitwiseAND(F.col("mask"))).alias("sig"), F.col("word").cast("long").alias("word"), "node")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, ...) sorted by sig, those whose sig isn't alone. One row is held back at a time."""
+    held: pa.Table | None = None  # the last row, not yet passed on
+    twin = False  # whether the row before it had its sig
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        sig = rows.column(0).to_numpy()
+        next_same = sig[1:] == sig[:-1]
+        keep = np.concatenate([[twin], next_same])[:-1] | next_same
+        twin = bool(next_same[-1]) if len(next_same) else twin
+        held = rows.slice(len(sig) - 1)
+        if keep.any():
+            yield from rows.slice(0, len(sig) - 1).filter(pa.array(keep)).combine_chunks().to_batches()
+    if held is not None and twin:
+        yield from held.combine_chunks().to_batches()
+
+
+def links(nodes: DataFrame, bits: int, words: int = 1, wide: int = 0, wide_bits: int = 0) -> DataFrame:
+    """``nodes`` has ``node`` and fp0, fp1, ... (``words`` to find candidates by, then ``wide`` to verify them), each combination once;
+    returns links ``a``, ``b`` that keep the components."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments find fingerprints of at most three differing bits")
-    prints = [f"fp{i}" for i in range(words)]
-    members = nodes.select("node", *prints, F.explode(F.array(*map(F.lit, range(words)))).alias("word")).withColumn("sig", F.lit(None).cast("long"))
-    found: list[DataFrame] = []
+    prints, found = [f"fp{i}" for i in range(words + wide)], []
+    members = nodes.select("node", *prints[:words], F.explode(F.array(*map(F.lit, range(words)))).alias("word"), F.lit(None).cast("long").alias("sig"))
     for cut in range(len(CUTS)):
-        chosen = F.element_at(F.array(*[F.col(p) for p in prints]), F.col("word") + 1)
-        each = members.select("node", *prints, "word", "sig", chosen.alias("chosen"), F.posexplode(F.array(*map(F.lit, masks(cut)))).alias("bit", "mask"))
-        keyed = each.select(F.xxhash64("sig", "word", "bit", F.col("chosen").bitwiseAND(F.col("mask"))).alias("sig"), F.col("word").cast("long").alias("word"), "node", *prints)
-        swept = keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sweep(words, bits, wide_bits), "a long, b long, sig long, word int")
+        keyed = _signed(members, prints[:words], cut)
+        # First the signatures alone, for most have one member; then the fingerprints of the rest.
+        shared = keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, word long, node long")
+        shared = written(shared, f"shared{cut}")
+        full = shared.join(nodes, "node").select("sig", "word", "node", *prints)
+        swept = full.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sweep(words + wide, bits, words, wide_bits), "a long, b long, sig long, word int")
         swept = written(swept, f"swept{cut}")
         found.append(swept.where("sig is null").select("a", "b"))
         large = swept.where("sig is not null").select(F.col("a").alias("node"), "word", "sig")
         if large.isEmpty():
             break
-        members = large.join(nodes, "node").select("node", *prints, "word", "sig")
+        members = large.join(nodes, "node").select("node", *prints[:words], "word", "sig")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
-def groups(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, bits: int = 2, words: int = 1, wide_bits: int = 0) -> DataFrame:
-    """One row per row of ``df``: doc_id, fp0, ..., component_id (the smallest id of the component)."""
-    prints = [f"fp{i}" for i in range(words)]
-    rows = written(fingerprints(df, text, key, k, words), "fingerprints")
-    node = F.col("fp0") if words == 1 else F.xxhash64(*prints)
+def _grouped(rows: DataFrame, prints: list[str], bits: int, words: int, wide_bits: int) -> DataFrame:
+    """``rows`` has doc_id and the fingerprints; adds component_id."""
+    node = F.col("fp0") if len(prints) == 1 else F.xxhash64(*prints)
     rows = rows.withColumn("node", node)
     nodes = rows.groupBy("node", *prints).agg(F.min("doc_id").alias("least"))
-    root = components.roots(links(nodes.select("node", *prints), bits, words, wide_bits))
+    root = components.roots(links(nodes.select("node", *prints), bits, words, len(prints) - words, wide_bits))
     rooted = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", *prints, "component_id")
+    return rows.join(named, "node").drop("node")
+
+
+def groups(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, bits: int = 2) -> DataFrame:
+    """One row per row of ``df``: doc_id, fp0 (of its k-word shingles), component_id (the smallest id of its component)."""
+    return _grouped(written(fingerprints(df, text, key, k), "fingerprints"), ["fp0"], bits, 1, 0)
+
+
+#: Near copies: words in a shingle, word-set fingerprints and the bits in which one of them may differ, 64-bit parts of the sketch
+#: that verifies.
+NEAR_SHINGLE, NEAR_WORDS, NEAR_BITS, NEAR_PARTS = 5, 4, 3, 16
+
+
+def sketched(text: bytes, k: int = NEAR_SHINGLE, words: int = NEAR_WORDS, parts: int = NEAR_PARTS) -> list[int]:
+    """Fingerprints of the set of words, then of the set of shingles. An item is hashed once; further hashes are mixed from it."""
+    out = []
+    for items, many in ((set(text.lower().split()), words), (set(shingles(text, k)), parts)):
+        h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
+        for _ in range(many):
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            out.append(_majority_of(h))
+    return out
+
+
+def near_limit(similarity: float, parts: int = NEAR_PARTS) -> int:
+    """Differing bits of the sketch at which two sets of that Jaccard similarity lie: the angle between them, of cosine 2 s / (1 + s)."""
+    return int(64 * parts * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``df``: doc_id, stamp (hash of its sketch), component_id: the smallest id among its near copies."""
+    rows = document(df, text, key)
+    rows = rows.select("doc_id", rows.text.cast("binary").alias("text"))
+    prints = [f"fp{i}" for i in range(NEAR_WORDS + NEAR_PARTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [sketched(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*made, strict=True))], names=["doc_id", *prints])
+
+    found = written(rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{p} long" for p in prints)])), "sketches")
+    return _grouped(found, prints, NEAR_BITS, NEAR_WORDS, near_limit(similarity)).select("doc_id", "component_id")
 
 
 def hex_of(fingerprint: str) -> F.Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def survivors(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, bits: int = 3, words: int = 1, wide_bits: int = 0) -> DataFrame:
-    """The rows of ``df``, with all their columns, of which one of each group stays: the one with the smallest id.
+def survivors(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df``, with all their columns, of which one of each group of near copies stays: the one with the smallest id.
 
-    Rows whose id is null stay if their group has no id. Of rows that share the staying id, all stay."""
-    grouped = groups(df, text, key, k, bits, words, wide_bits)
+    Rows whose id is null stay if their group has no id. An id that several rows share goes if any of them goes."""
+    grouped = near_groups(df, text, key, similarity)
     gone = grouped.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
     keys = gone.select(F.col("doc_id").alias("__gone"))
     return df.join(keys, df[f"`{key}`"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
