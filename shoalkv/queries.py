@@ -17,7 +17,7 @@ from .functions import bloom, latency, paths
 from .operators import cache, memtable
 from .plans import flush, views
 from .schema import MUTATION, PLAIN
-from .sources import log
+from .sources import log, objects
 from .sources.lake import Lake
 from .streaming import ingest
 
@@ -475,3 +475,47 @@ def key_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hex and back, and padded names."""
     rows = mutations(spark, sf_dir).select("lsn", F.hex("pk").alias("pk_hex"))
     return rows.select("lsn", "pk_hex", paths.decode_hex(F.col("pk_hex")).cast("string").alias("pk_back"), paths.padded(F.col("lsn")).alias("crc"))
+
+
+@query("""SELECT n_nationkey AS table_id, lower(r_name) || '/' AS schema_path, lower(n_name) || '/' AS table_path FROM nation JOIN region ON n_regionkey = r_regionkey
+WHERE n_name = (SELECT max(n_name) FROM nation) AND r_name = (SELECT max(r_name) FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_name = (SELECT max(n_name) FROM nation))""")
+def table_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table by schema and name, as bound parameters."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    name, home = nation.agg(F.max(F.struct("n_name", "n_regionkey")).alias("m")).select("m.*").first()
+    schema = region.where(F.col("r_regionkey") == home).first().r_name
+    return spark.sql(
+        "SELECT n_nationkey AS table_id, lower(r_name) || '/' AS schema_path, lower(n_name) || '/' AS table_path FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_name = :name AND r_name = :schema",
+        args={"name": name, "schema": schema}, nation=nation, region=region,
+    )
+
+
+@query("SELECT pk, ord FROM (SELECT *, row_number() OVER (ORDER BY ord, pk) AS r FROM (SELECT 'key' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS pk, md5('11:' || o_orderkey) AS ord FROM orders)) WHERE r <= 500")
+def hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bench's hot set: 500 keys without replacement, in a seeded random order; a top-k, not a sort of the table."""
+    rows = table(spark, sf_dir, "orders").select(paths.bench_key(F.col("o_orderkey")).alias("pk"), F.md5(F.concat(F.lit("11:"), F.col("o_orderkey").cast("string")).cast("binary")).alias("ord"))
+    return rows.orderBy("ord", "pk").limit(500)
+
+
+RATIOS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+
+
+@query()
+def cache_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bench's sweep over cache sizes: by working set over cache, the hit rate and the fetches per read. Only measured reads count."""
+    reads = trace(spark, sf_dir).withColumn("cache", F.lit("all"))
+    whole = cache.working_set(reads).first().bytes
+    points = [cache.simulated(reads, int(whole / r)).withColumn("ratio", F.lit(r)) for r in RATIOS]
+    out = points[0]
+    for p in points[1:]:
+        out = out.unionByName(p)
+    n = F.col("hits") + F.col("misses")
+    return out.select("ratio", n.alias("reads"), (F.col("hits") / n).alias("hit_rate"), (F.col("misses") / n).alias("fetches_per_read"), "evictions")
+
+
+@query()
+def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lake's objects after one publish: one data file, its side files, and the manifest."""
+    lake = published_lake(spark, sf_dir, units=1)
+    found = objects.listing(spark, lake.root)
+    return found.select(F.regexp_extract("path", "/(data|manifest|compaction)/", 1).alias("part"), F.element_at(F.split("path", "[.]"), -1).alias("kind"), (F.col("size") > 0).alias("filled"))

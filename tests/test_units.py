@@ -284,3 +284,21 @@ def test_settings_come_from_the_environment():
 
 def test_operations_have_their_codes():
     assert (Op.PUT, Op.DELETE) == (0, 1)
+
+
+def test_the_store_is_set_up_and_listed(spark, tmp_path):
+    from shoalkv.sources.objects import Store, head, listing
+
+    made = Store("https://store:9000", "a", "b").options()
+    assert made["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "true" and made["spark.hadoop.fs.s3a.path.style.access"] == "true"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.bin").write_bytes(b"12345")
+    assert [(r.path[-5:], r.size) for r in listing(spark, str(tmp_path)).collect()] == [("x.bin", 5)]
+    assert head(spark, str(tmp_path / "d" / "x.bin"))[0] == 5
+    with pytest.raises(Exception, match="FileNotFound"):
+        head(spark, str(tmp_path / "none"))
+
+
+def test_urls(spark):
+    row = spark.createDataFrame([("https://h:9000",), ("http://h",)], "u string").select(paths.without_scheme(F.col("u")).alias("h"), paths.uses_tls(F.col("u")).alias("s")).collect()
+    assert [(r.h, r.s) for r in row] == [("h:9000", True), ("h", False)]
