@@ -15,6 +15,10 @@ bits, then pairs of bits). After three cuts at most 8 + 3 bits are free, so no b
 can hold more than 2,048 distinct fingerprints: all links are found at any skew, in
 bounded memory, with no cap. Equal fingerprints are one node throughout.
 
+With verification (below) many nodes may share a fingerprint and differ in the sketch, so no cut makes their bucket
+small. A bucket larger than ``BUCKET`` then streams past the leaders found so far: a member that a leader verifies is
+linked to it, any other becomes a leader. Near copies of one text cost a leader or a few, however many they are.
+
 ``near_groups`` finds near copies by the similarity of their five-word shingles. Fingerprints of shingles lie too
 far apart for that (some nine bits of 64 at a similarity of 0.8), so candidates come from four fingerprints of the
 set of words, which lie some four bits apart, by the same signatures; a candidate pair is verified by 1,024 further
@@ -117,7 +121,7 @@ def local_forest(prints: np.ndarray, index: int, bits: int, first_wide: int = 1,
         label = least
 
 
-def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int):
+def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool = False):
     """Over rows (sig, word, node, prints) sorted by sig: links of nodes, or the members of large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +137,30 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int):
             at = np.flatnonzero(label != np.arange(len(label)))
             return [(rows[label[at], 0], rows[at, 0])] if len(at) else []
 
+        leaders: list[np.ndarray] = []  # of the large bucket, after the last cut
+
+        def led(rows: np.ndarray) -> list[tuple]:
+            made, word = [], int(rows[0, 0])
+            for s in range(0, len(rows), BUCKET):
+                part = rows[s : s + BUCKET, 1:]
+                for chief in leaders:
+                    at = np.flatnonzero(_near(part[:, 1:], chief[1:], word))
+                    if len(at):
+                        made.append((np.full(len(at), chief[0]), part[at, 0]))
+                        part = np.delete(part, at, axis=0)
+                    if not len(part):
+                        break
+                if len(part):
+                    label = local_forest(np.ascontiguousarray(part[:, 1:]).view(np.uint64), word, bits, first_wide, wide_bits)
+                    at = np.flatnonzero(label != np.arange(len(label)))
+                    made.append((part[label[at], 0], part[at, 0]))
+                    leaders.extend(part[np.unique(label)])
+            return made
+
+        def _near(rows: np.ndarray, chief: np.ndarray, word: int) -> np.ndarray:
+            each = np.bitwise_count((rows ^ chief).view(np.uint64))
+            return (each[:, word] <= bits) & (each[:, first_wide:].sum(axis=1, dtype=np.int64) <= wide_bits)
+
         def closed() -> list[tuple]:
             rows = np.concatenate(held) if held else np.zeros((0, prints + 2), np.int64)
             return links(rows[:, 1:], int(rows[0, 0])) if len(rows) > 1 else []
@@ -151,7 +179,11 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int):
                 part = rest[: ends[0]]
                 if large is not None or sum(map(len, held)) + len(part) > BUCKET:
                     large = held_sig
-                    over += [np.column_stack([np.full(len(x), held_sig), x]) for x in [*held, part]]
+                    for x in [*held, part]:
+                        if last:
+                            found += led(x)
+                        else:
+                            over.append(np.column_stack([np.full(len(x), held_sig), x]))
                     held = []
                 else:
                     held.append(part)
@@ -160,6 +192,7 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int):
                 if held_sig is not None and large is None:
                     found += closed()
                 large, held = None, []
+                leaders.clear()
                 sizes = ends - edges
                 body = slice(first, len(edges) - 1)
                 pairs = edges[body][sizes[body] == 2]
@@ -172,14 +205,20 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int):
                     if near.any():
                         found.append((x[near, 1], y[near, 1]))
                 for s, e in zip(edges[body][sizes[body] > 2].tolist(), ends[body][sizes[body] > 2].tolist(), strict=True):
-                    if e - s > BUCKET:
+                    if e - s > BUCKET and last:
+                        found += led(rest[s:e])
+                        leaders.clear()
+                    elif e - s > BUCKET:
                         over.append(table[s:e])
                     else:
                         found += links(rest[s:e, 1:], int(rest[s, 0]))
                 held_sig, held = sig[-1], [rest[edges[-1] :]]
                 if len(held[0]) > BUCKET:
                     large = held_sig
-                    over.append(table[edges[-1] :])
+                    if last:
+                        found += led(held[0])
+                    else:
+                        over.append(table[edges[-1] :])
                     held = []
             if found:
                 yield out(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), None, None)
@@ -231,7 +270,7 @@ def links(nodes: DataFrame, bits: int, words: int = 1, wide: int = 0, wide_bits:
         shared = keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, word long, node long")
         shared = written(shared, f"shared{cut}")
         full = shared.join(nodes, "node").select("sig", "word", "node", *prints)
-        swept = full.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sweep(words + wide, bits, words, wide_bits), "a long, b long, sig long, word int")
+        swept = full.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sweep(words + wide, bits, words, wide_bits, wide > 0 or cut == len(CUTS) - 1), "a long, b long, sig long, word int")
         swept = written(swept, f"swept{cut}")
         found.append(swept.where("sig is null").select("a", "b"))
         large = swept.where("sig is not null").select(F.col("a").alias("node"), "word", "sig")

@@ -394,6 +394,18 @@ def test_links_lose_nothing_in_crowded_buckets(spark, monkeypatch, bucket, bits)
         assert all(any(set(p) <= set(q) for q in pairs(want)) for p in pairs(got))
 
 
+def test_crowded_buckets_with_verification(spark, monkeypatch):
+    """Nodes of equal fingerprints and close sketches, more than a bucket holds: leaders link them, and no others."""
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    rng, rows = random.Random(6), []
+    for group in range(3):
+        sketch = rng.getrandbits(62)
+        rows += [(group * 1000 + i, 12345, sketch ^ (1 << i % 60)) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, fp0 long, fp1 long").repartition(3)
+    got = {r.node: r.root for r in components.roots(simhash.links(nodes, 3, 1, 1, 4)).collect()}
+    assert {n: got.get(n, n) for n, *_ in rows} == {n: n // 1000 * 1000 for n, *_ in rows}
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 300)] + [(500 + i, 500 + j) for i in range(8) for j in range(i)]
@@ -476,7 +488,14 @@ def test_the_distance_is_out_of_place():
     assert profiles.nearest(np.array([1]))[0] == "b" and profiles.nearest(np.array([], np.int64)) == ("und", 0.0)
 
 
-def test_grams_and_their_order():
-    found, counts = langid._counted(Counter({"ab": 2}))
-    names = ["".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)).rstrip("\0") for g in found.tolist()]
-    assert dict(zip(names, counts.tolist(), strict=True)) == {" a": 2, " ab": 2, "a": 2, "ab": 2, "ab ": 2, "b": 2, "b ": 2}
+def test_grams_of_words():
+    rng = random.Random(1)
+    for _ in range(50):
+        own = ["".join(rng.choice("abé漢") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 6))]
+        want = Counter(f" {w} "[i : i + n] for w in own for n in (1, 2, 3) for i in range(len(w) + 3 - n))
+        del want[" "]
+        found, counts = langid.counted(langid.spaced("1 ² _" + "² ".join(own) + "!"))
+        names = ["".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)).rstrip("\0") for g in found.tolist()]
+        if "²" not in "".join(names):
+            assert dict(zip(names, counts.tolist(), strict=True)) == want
+    assert langid.spaced(" 12 ²³ ٣") == "" and langid.spaced("A1b") == " a b "

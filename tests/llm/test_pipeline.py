@@ -16,7 +16,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 def texts(frame):
     names = sorted(frame.columns)
-    return sorted(frame[names].astype(str).values.tolist())
+    shown = frame[names].astype(object).where(frame[names].notna(), None).astype(str)
+    return sorted([[x.removesuffix(".0") for x in r] for r in shown.values.tolist()])  # pandas shows nullable integers as floats
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
