@@ -119,3 +119,32 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         labelled([*((label, n) for label, _, n in base), *((label, n) for label, _, _, n in more)]).alias("labels"),
         F.greatest(whole, *shares).cast("double").alias("score"),
     )
+
+
+def scan_sql() -> str:
+    """The query's result in SQL: words of phrases and lines joined by position."""
+    words, lines = [], []
+    for k, (phrase, label) in enumerate(BASE.items()):
+        lines.append((f"b{k}", label, 0, len(phrase.split()), len(phrase.split())))
+        words += [(f"b{k}", j, w, True) for j, w in enumerate(phrase.split())]
+    for k, (label, phrase, line) in enumerate(TEMPLATES):
+        p, own = phrase.split(), line.split()
+        at = next(i for i in range(len(own)) if own[i : i + len(p)] == p)
+        lines.append((f"t{k}", label, at, len(p), len(own)))
+        words += [(f"t{k}", j, w, at <= j < at + len(p)) for j, w in enumerate(own)]
+    rows = lambda x: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in x)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), e AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+w AS (SELECT * FROM (VALUES {rows(words)}) t(tid, j, word, is_key)), t AS (SELECT * FROM (VALUES {rows(lines)}) t(tid, label, key_at, key_len, n_line)),
+m AS (SELECT rid, tid, i - j AS start, count(*) FILTER (is_key) AS k, count(*) AS n FROM e JOIN w USING (word) GROUP BY ALL),
+v AS (SELECT rid, tid, label, start + key_at AS place, tid LIKE 'b%' AS is_base, CASE WHEN tid LIKE 'b%' THEN 0.5 ELSE CAST(n AS DOUBLE) / n_line END AS share FROM m JOIN t USING (tid) WHERE k = key_len),
+a AS (
+  SELECT rid, count(*) FILTER (is_base) AS n_base, min(place) FILTER (is_base) AS first_word, max(place) FILTER (is_base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM v GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (rid)
+"""

@@ -156,3 +156,36 @@ def accepted(df: DataFrame, text: str = "text", limits: dict[int, int] | None =
             yield batch.filter(pa.array([verdict((x or "").encode(), limits)[6] for x in texts], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def measure_sql(limits: dict[int, int] = NGRAM_LIMITS) -> str:
+    """The query's result in SQL, over n-grams as text."""
+    space = r"[\x20\x09-\x0D]"
+    most = max(limits)
+    leads = ", ".join(f"lead(w, {j}) OVER o AS w{j}" for j in range(1, most))
+    gram = lambda k: " || ' ' || ".join(["w", *(f"w{j}" for j in range(1, k))])
+    sizes = sorted({3, *limits})
+    keys = ", ".join(f"{gram(k)} AS g{k}" for k in sizes)
+    flags = ", ".join(f"CASE WHEN g{k} IS NOT NULL AND count(*) OVER (PARTITION BY rid, g{k}) > 1 THEN i END AS f{k}" for k in sizes)
+    covers = ", ".join(f"coalesce(max(f{k}) OVER o >= i - {k - 1}, false) AS c{k}" for k in sizes)
+    sums = ", ".join(f"coalesce(sum(length(w)) FILTER (c{k}), 0) AS s{k}" for k in sorted(limits))
+    over = [f"CASE WHEN 100 * s{k} > {limits[k]} * word_chars THEN '{k}-grams' END" for k in sorted(limits)]
+    over += [f"CASE WHEN 100 * n_dup_lines > {LINE_LIMIT} * n_lines THEN 'lines' END", f"CASE WHEN 100 * dup_line_chars > {LINE_CHARS_LIMIT} * word_chars THEN 'line characters' END"]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+e AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT rid, regexp_extract_all(t, '[^{space[1:]}+') AS ws FROM d)),
+l AS (SELECT *, {leads} FROM e WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, i, w, {keys} FROM l), f AS (SELECT rid, i, w, {flags} FROM g),
+c AS (SELECT rid, w, {covers} FROM f WINDOW o AS (PARTITION BY rid ORDER BY i)),
+a AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (c3) AS n_repeat_words, {sums} FROM c GROUP BY rid),
+n AS (SELECT rid, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM d)),
+x AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS again FROM n WHERE regexp_matches(line, '[^{space[1:]}')),
+y AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '{space}+', '', 'g'))) FILTER (again), 0) AS dup_line_chars FROM x GROUP BY rid),
+z AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(s{k}, 0) AS s{k}" for k in sorted(limits))}
+  FROM d LEFT JOIN a USING (rid) LEFT JOIN y USING (rid)
+), r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, array_to_string(list_filter([{", ".join(over)}], lambda x: x IS NOT NULL), ',') AS reasons FROM z)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept,
+       CAST(greatest({", ".join(f"s{k}" for k in sorted(limits))}) AS BIGINT) AS dup_ngram_chars, CAST(dup_line_chars AS BIGINT) AS dup_line_chars, reasons FROM r
+"""

@@ -71,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_dedup": dedup.CLASSES_SQL,
+    "op4_licenses": licenses.scan_sql(),
+    "op5_quality": quality.measure_sql(),
     "op6_substrings": substrings.REMOVED_SQL,
     "op7_lines": lines.DEDUP_SQL,
     "op9_mixing": mixing.MIX_SQL,
