@@ -6,8 +6,8 @@ are its profile. A text's own most frequent n-grams are compared to each profile
 by the out-of-place distance: the sum of the differences in rank, and ``SIZE`` for an
 n-gram the profile lacks. The least distance wins.
 
-Words are counted before n-grams are, per Python worker and language, so training
-shuffles a few n-gram counts a partition and no text. An n-gram is one integer (three
+N-grams are made and counted as vectors, all of a text at once, and summed per Python worker and
+language, so training shuffles a few n-gram counts a partition and no text. An n-gram is one integer (three
 code points of 21 bits), which also breaks ties in frequency, so results don't
 depend on how rows are dealt. A profile has ``SIZE`` entries; profiles are sent to the workers, and
 more than ``LANGUAGES`` learned languages raise ``ValueError``.
@@ -21,7 +21,7 @@ empty table gives no rows; further columns are passed over.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,77 +34,68 @@ from .common import document, fold, slices
 
 SIZE = 400
 LANGUAGES = 1000
-#: Distinct words (of all languages) a worker counts before it turns them into n-grams.
-HELD_WORDS = 100_000
-MEMO = 200_000
-
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters."""
-    found = _WORDS.findall(text.lower())
-    return found if text.isascii() else [w for w in found if any(map(str.isalpha, w))]
-
-
-def grams_of(word: str) -> np.ndarray:
-    """The word's n-grams, repeats included: up to three code points of 21 bits, the first highest."""
-    c = np.array([32, *map(ord, word), 32], np.int64)
-    one = c[1:-1] << 42
-    two = (c[:-1] << 42) | (c[1:] << 21)
-    three = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-    return np.concatenate([one, two, three])
-
-
-def _counted(words: Counter, memo: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of counted words, ascending, and their counts."""
-    if memo is None:
-        arrays = list(map(grams_of, words))
-    else:
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = grams_of(w)
-        arrays = [memo[w] for w in words]
-    if not arrays:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(arrays)), sizes)
-    found, at = np.unique(np.concatenate(arrays), return_inverse=True)
-    return found, np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)
+#: N-grams a worker holds before it sums them.
+HELD = 2_000_000
+
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def spaced(text: str) -> str:
+    """The lower-case runs of letters with one blank before, between and after them; empty if there are none."""
+    words = _BETWEEN.sub(" ", text.lower()).strip(" ")
+    if not words.isascii() and not words.replace(" ", "").isalpha():  # numerals that are no digits
+        words = " ".join(w for w in words.split(" ") if any(map(str.isalpha, w)))
+    return f" {words} " if words else ""
+
+
+def grams_of(spaced_text: str) -> np.ndarray:
+    """The n-grams of each word between its blanks, repeats included: up to three code points of 21 bits, the first highest.
+
+    Two words share the blank between them, and no n-gram has it in the middle."""
+    c = np.frombuffer(spaced_text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not len(c):
+        return c
+    high = c << 42
+    two = high[:-1] | (c[1:] << 21)
+    three = two[:-1] | c[2:]
+    return np.concatenate([high[c != 32], two, three[c[1:-1] != 32]])
+
+
+def counted(spaced_text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and their counts."""
+    return np.unique(grams_of(spaced_text), return_counts=True)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent n-grams in order: by count, then by n-gram."""
-    return grams[np.lexsort((grams, -counts))[:size]]
+    """The most frequent of ascending n-grams in order: by count, then by n-gram."""
+    return grams[np.argsort(-counts, kind="stable")[:size]]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(grams)).astype(np.int64)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = defaultdict(Counter)
-    sums: dict[str, Counter] = defaultdict(Counter)
-
-    def turned() -> None:
-        for lang, words in held.items():
-            grams, counts = _counted(words)
-            own = sums[lang]
-            for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
-                own[g] += n
-        held.clear()
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
-        sums.clear()
+        for lang, parts in held.items():
+            grams, counts = _summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
+        held.clear()
 
-    for batch in slices(batches):
+    for batch in slices(batches, 1 << 20):
+        texts: dict[str, list[str]] = defaultdict(list)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[lang].update(words_of(text))
-        if sum(map(len, held.values())) > HELD_WORDS:
-            turned()
-            if sum(map(len, sums.values())) > 10 * HELD_WORDS:
+            texts[lang].append(text)
+        for lang, own in texts.items():
+            held[lang].append(counted(spaced(" ".join(own))))
+        if sum(len(g) for parts in held.values() for g, _ in parts) > HELD:
+            for lang, parts in held.items():
+                held[lang] = [_summed(parts)]
+            if sum(len(g) for parts in held.values() for g, _ in parts) > HELD // 2:
                 yield from out()
-    turned()
     yield from out()
 
 
@@ -149,9 +140,9 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text",
     rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == test).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, memo = shared.value, {}
+        table = shared.value
         for batch in slices(batches):
-            made = [table.nearest(ranked(*_counted(Counter(words_of(x)), memo), size)) for x in batch.column(2).to_pylist()]
+            made = [table.nearest(ranked(*counted(spaced(x)), size)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

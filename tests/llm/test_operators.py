@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from shoalkv.llm import bpe, components, dedup, langid, licenses, lm, mixing, quality, registry, simhash, substrings
+from shoalkv.llm import bpe, components, dedup, langid, licenses, lines, lm, mixing, quality, registry, simhash, substrings
 
 SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -333,6 +333,43 @@ def test_blocks_at_the_edges_of_chunks(monkeypatch):
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == 1951
 
 
+# 7: lines.
+
+
+def lines_brute(rows):
+    def host(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        return m[1].lower() if m else None
+
+    cut = [(i, host(u), [" ".join(x.split()) for x in (t or "").split("\n") if x.strip()]) for i, u, t in rows]
+    pages = Counter(h for _, h, _ in cut if h)
+    seen = Counter((h, x) for _, h, own in cut if h for x in set(own))
+    common = {k for k, n in seen.items() if n >= lines.LEAST and 100 * n > lines.RATIO * pages[k[0]]}
+    return sorted(((i, h, pages[h] if h else 0, len(own), sum((h, x) in common for x in own), "\n".join(x for x in own if (h, x) not in common)) for i, h, own in cut), key=str)
+
+
+def test_lines(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        own = [f"text {rng.randrange(1000)}" for _ in range(rng.randrange(5))] + rng.sample(["Home", "About  us", "Log in\tnow", "rare"], 2) * rng.randint(1, 2)
+        rng.shuffle(own)
+        rows.append((i, f"https://user@{rng.choice(['a.org', 'B.org:80', 'c.org'])}/p?q={i}", "\n\n".join(own)))
+    rows += [(100, None, "Home\nHome"), (101, "no host", "Home"), (102, "http://d.org", "Home\nonly"), (103, "http://a.org/", None), (104, "http://a.org/", ""), (None, "http://a.org", "Home\nx"), (5, *rows[5][1:])]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string").repartition(3)
+    names = ("page_id", "host", "n_pages", "n_lines", "n_dropped", "kept")
+    assert keyed(lines.dedup(frame, html=False), *names) == lines_brute(rows)
+    monkeypatch.setattr(lines, "BROADCAST_HOSTS", 0)
+    assert keyed(lines.dedup(frame, html=False), *names) == lines_brute(rows)
+    assert lines.dedup(frame.limit(0)).count() == 0
+
+
+def test_lines_of_html(spark):
+    page = "<html><head><title>T &amp; t</title><style>p{}</style><script>var a = '<p>';</script></head><body><!-- <p>no --><p>one <b>two</b>\n three<br/>four</p><DIV class='x'>five</DIV></body></html>"
+    got = spark.createDataFrame([(1, "http://h", page)], "page_id long, url string, html string")
+    assert lines.dedup(got).first().kept == "T &amp; t\none two\nthree\nfour\nfive"
+
+
 # 8: SimHash.
 
 
