@@ -30,11 +30,13 @@ from .common import SPACE, scratch
 #: Files of the store in one micro-batch.
 FILES_PER_BATCH = 1000
 
-#: Settings of the streaming state: on disk, with a bound on its memory.
+#: Settings of the streaming state: on disk, with a bound on its memory, and without files allocated ahead (some
+#: megabytes for each state partition, however small).
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
