@@ -9,9 +9,11 @@ below the empty context the bytes not yet seen share evenly. The score is the su
 over the bytes and the end: the code length of the text under the pretrained model.
 
 All counts come from all training texts: workers count (ORDER + 1)-grams, Spark sums them, and shorter
-contexts follow from the sums. What is sent to the workers has a bound that doesn't depend on the
-corpus: a successor stays in the trie if it makes up ``SHARE`` of all bytes or more, so an order has at most
-1 / SHARE of them; what a context has besides them counts as its escapes. Successors of a longer context
+contexts follow from the sums. The model is all of them: no successor is left out, however rare. What is sent to the
+workers has a bound that doesn't depend on the corpus: the costs of the most frequent n-grams, 1 / SHARE at most. All
+others that a text has are looked up by a join: the sums are dealt by the two bytes before the coded one, so that a worker
+has every context of two bytes and more whole, builds the trie of some such contexts at a time (the shorter ones,
+65,792 successors at most, are sent), and costs the n-grams asked for. Successors of a longer context
 are successors of every shorter one, so exclusion needs no search: a node knows its suffix and
 what its own successors take away there.
 
@@ -43,6 +45,9 @@ WORD_SHARE = 1e-6
 #: Distinct n-grams or words a worker holds before it passes its sums on.
 HELD = 3_000_000
 HELD_WORDS = 400_000
+#: Bytes of context by which the sums are dealt to workers, and the n-grams of whole such contexts that one trie holds.
+DEALT = 2
+PIECE = 500_000
 #: Slots of a worker's table of n-grams it has scored already; their number changes no result.
 SLOTS = 20
 
@@ -194,15 +199,31 @@ class Trie:
         return total
 
 
+class Sent:
+    """The costs of the most frequent n-grams; those of others are NaN."""
+
+    def __init__(self, order: int, keys: np.ndarray, costs: np.ndarray):
+        by = np.argsort(keys)
+        self.order, self.keys, self.costs = order, keys[by], costs[by]
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(grams), np.nan)
+        at = np.searchsorted(self.keys, grams)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == grams, self.costs[at], np.nan)
+
+
 class Scorer:
     """Scores texts; keeps the cost of n-grams it has met in a direct-mapped table."""
 
-    def __init__(self, trie: Trie):
+    def __init__(self, trie: Trie | Sent):
         self.trie = trie
         self.seen = np.full(1 << SLOTS, APART)
         self.value = np.zeros(1 << SLOTS)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
+        """Each text's sum over the n-grams of known cost, and the others with their numbers."""
         keys, begins = grams(texts, self.trie.order)
         slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
         cost = self.value[slot]
@@ -214,7 +235,16 @@ class Scorer:
             self.seen[slot[miss]] = keys[miss]
             self.value[slot[miss]] = cost[miss]
         cost[keys == APART] = 0
-        return np.add.reduceat(cost, begins) if len(begins) else np.zeros(0)
+        lost = np.flatnonzero(np.isnan(cost))
+        cost[lost] = 0
+        row, gram = np.searchsorted(begins, lost, "right") - 1, keys[lost]
+        by = np.lexsort((gram, row))
+        row, gram = row[by], gram[by]
+        at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])) if len(row) else np.zeros(0, np.int64)
+        times = np.diff(np.append(at, len(row))).astype(np.int32)
+        offsets = np.searchsorted(row[at], np.arange(len(begins) + 1)).astype(np.int32)
+        open_ = pa.StructArray.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(times)], names=["gram", "times"])
+        return np.add.reduceat(cost, begins) if len(begins) else np.zeros(0), pa.ListArray.from_arrays(pa.array(offsets), open_)
 
 
 def _by_order(table: pa.Table, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -222,10 +252,78 @@ def _by_order(table: pa.Table, order: int) -> dict[int, tuple[np.ndarray, np.nda
     return {k: (gram[j == k].astype(np.uint64), n[j == k].astype(np.int64)) for k in range(order + 1)}
 
 
-def train(df: DataFrame, text: str = "text", order: int = ORDER, share: float = SHARE) -> Trie:
-    """The trie of all rows of ``df``."""
+def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of strings and their counts."""
+    return _summed([(keys >> np.uint64(8), counts)])
+
+
+def _costs(order: int, low: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Over rows (context, gram, n) sorted by context, n 0 for an n-gram asked for: the costs of those. ``low``: the strings below the dealt contexts."""
+
+    def costed(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        asked, kept = gram[n == 0], dict(low)
+        if not len(asked):
+            return
+        keys, counts = gram[n > 0], n[n > 0]
+        for j in range(order, len(low) - 1, -1):
+            kept[j] = keys, counts = _summed([(keys & np.uint64((1 << 8 * (j + 1)) - 1), counts)])
+        trie = Trie(order, kept, {j: _contexts(*k) for j, k in kept.items()})
+        for s in range(0, len(asked), 1 << 18):
+            part = asked[s : s + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(trie.cost(part))], names=["gram", "cost"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy() for i in range(3)]))
+            size += batch.num_rows
+            if size > PIECE and held[-1].shape[1] and held[-1][0, -1] != held[0][0, 0]:
+                rows = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(rows[0], rows[0, -1]))
+                yield from costed(rows[1, :whole].astype(np.uint64), rows[2, :whole])
+                held = [rows[:, whole:]]
+                size = len(held[0][0])
+        if size:
+            rows = np.concatenate(held, axis=1)
+            yield from costed(rows[1].astype(np.uint64), rows[2])
+
+    return run
+
+
+def _counted(df: DataFrame, text: str, order: int) -> DataFrame:
     rows = df.select(F.coalesce(df[f"`{text}`"].cast("string"), F.lit("")).cast("binary").alias("text"))
-    counted = rows.mapInArrow(_count_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(_count_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _sent(counted: DataFrame, order: int) -> Sent:
+    """The costs of as many of the most frequent n-grams as 1 / SHARE has room for: all in their longest context."""
+    size = F.floor(F.log2("n") * 8)
+    room, least = 1 / SHARE, None
+    for r in sorted(counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("kinds")).collect(), key=lambda r: -r["size"]):  # at most 8 * 63 rows
+        if (room := room - r.kinds) < 0:
+            break
+        least = r["size"]
+    if least is None:
+        return Sent(order, np.zeros(0, np.uint64), np.zeros(0))
+    context = F.shiftright("gram", 8).alias("context")
+    sums = counted.groupBy(context).agg((F.sum("n") + F.count(F.lit(1))).alias("all"))
+    kept = counted.where(size >= least).select("gram", "n", context).join(sums, "context").select("gram", "n", "all").toArrow()
+    gram, n, whole = (kept.column(name).to_numpy() for name in ("gram", "n", "all"))
+    return Sent(order, gram.astype(np.uint64), np.log10(n) - np.log10(whole))
+
+
+def _low(counted: DataFrame, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The strings of the orders below the dealt contexts, and their counts."""
+    level = [F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("gram")) for j in range(min(order, DEALT))]
+    if not level:
+        return {}
+    return _by_order(counted.select(F.explode(F.array(*level)).alias("k"), "n").groupBy("k.j", "k.gram").agg(F.sum("n").alias("n")).toArrow(), len(level) - 1)
+
+
+def train(df: DataFrame, text: str = "text", order: int = ORDER, share: float = SHARE) -> Trie:
+    """One trie of all rows of ``df``, less the successors below ``share`` of all bytes, which count as escapes. ``score`` needs none: it leaves nothing out."""
+    counted = _counted(df, text, order)
     total, level = F.sum("n"), [F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("gram")) for j in range(order + 1)]
     counted = written(counted, "grams")
     counts = written(counted.select(F.explode(F.array(*level)).alias("k"), "n").groupBy("k.j", "k.gram").agg(F.sum("n").alias("n")), "orders")
@@ -247,14 +345,15 @@ def score(df: DataFrame, training: DataFrame, text: str = "text", key: str = "do
     common = words.where((F.col("n") >= least) & F.col("word").isNotNull())  # at most 1 / WORD_SHARE rows
     table = common.toArrow()
     logs = dict(zip(table.column("word").to_pylist(), np.log10(table.column("n").to_numpy() + 1.0).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((logs, train(training, text, order)))
+    counted = written(_counted(training, text, order), "grams")
+    shared = spark.sparkContext.broadcast((logs, _sent(counted, order)))
     end = math.log10(ends + 1)
     each = math.log10(tokens + kinds + 1)
     known_end = int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, trie = shared.value
-        scorer, get, nothing = Scorer(trie), logs.get, math.nan
+        logs, sent = shared.value
+        scorer, get, nothing = Scorer(sent), logs.get, math.nan
         number = TaskContext.get().partitionId() << 36
         for batch in slices(batches, _SLICE):
             n = batch.num_rows
@@ -270,23 +369,29 @@ def score(df: DataFrame, training: DataFrame, text: str = "text", key: str = "do
                 rare.append(list(Counter([own[i] for i in np.flatnonzero(gone).tolist()]).items()))
             ids = pa.array(np.arange(number, number + n))
             number += n
-            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scorer.scores(texts)), pa.array([[{"word": w, "times": k} for w, k in r] for r in rare], _RARE)]
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(1), *made], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            scores, open_ = scorer.scores(texts)
+            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), open_, pa.array([[{"word": w, "times": k} for w, k in r] for r in rare], _RARE)]
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(1), *made], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "open", "rare"])
 
     rows = document(df, text, key)
     rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == test).alias("held_out"), rows.text.cast("binary").alias("text"))
-    first = written(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,times:int>>"), "first")
+    first = written(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, open array<struct<gram:long,times:int>>, rare array<struct<word:binary,times:int>>"), "first")
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     met = rare.join(words.where((F.col("n") < least) & F.col("word").isNotNull()), "word")
     more = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"))
-    return first.join(more, "row", "left").select(
+    lost = first.select("row", F.explode("open").alias("o")).select("row", "o.gram", "o.times")
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * min(order, DEALT)) - 1)).alias("context")
+    dealt = counted.union(lost.select("gram").distinct().withColumn("n", F.lit(0).cast("long"))).select(context, "gram", "n")
+    costs = dealt.repartition("context").sortWithinPartitions("context").mapInArrow(_costs(order, _low(counted, order)), "gram long, cost double")
+    paid = lost.join(written(costs, "costs"), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("paid"))
+    return first.join(more, "row", "left").join(paid, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("paid", F.lit(0.0))).alias("score"),
     )
 
 

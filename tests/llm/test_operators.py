@@ -208,6 +208,20 @@ def test_ppm_words_beyond_the_sent_table_are_counted(spark, rows, monkeypatch):
     assert keyed(lm.evaluate(frame).withColumn("b", F.round("base_score", 6)), "doc_id", "n_known", "b") == whole
 
 
+@pytest.mark.parametrize("share", [1e-6, 1e-4])
+def test_ppm_keeps_rare_strings_of_a_larger_corpus(spark, monkeypatch, share):
+    """A corpus of more bytes than 1 / SHARE, of strings that mostly occur once, is scored as if nothing were sent apart."""
+    monkeypatch.setattr(lm, "SHARE", share)
+    monkeypatch.setattr(lm, "PIECE", 20_000)
+    rng = random.Random(3)
+    training = [prose(rng, 6_000, 400) + " " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(12_000)) for _ in range(8)]
+    assert sum(map(len, training)) > 1.01e6
+    text = training[0][-300:] + " never met \x00 Ω"
+    frame = spark.createDataFrame([(10 + i, t, "en", "s", 0) for i, t in enumerate(training)], SCHEMA)
+    got = lm.score(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA), frame).first().score
+    assert got == pytest.approx(ppm_brute(training, text, lm.ORDER), abs=1e-6)
+
+
 def test_ppm_without_training(spark, rows, empty):
     assert lm.evaluate(empty).count() == 0
     frame = spark.createDataFrame([(1, "ab", "en", "s", 0)], SCHEMA)
