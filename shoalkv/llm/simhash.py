@@ -16,8 +16,9 @@ can hold more than 2,048 distinct fingerprints: all links are found at any skew,
 bounded memory, with no cap. Equal fingerprints are one node throughout.
 
 With verification (below) many nodes may share a fingerprint and differ in the sketch, so no cut makes their bucket
-small. A bucket larger than ``BUCKET`` then streams past the leaders found so far: a member that a leader verifies is
-linked to it, any other becomes a leader. Near copies of one text cost a leader or a few, however many they are.
+small. A bucket larger than ``BUCKET`` is then compared block by block with all of its earlier blocks, less the pairs
+that one component holds already: its components are exact in any order of rows. Near copies of one text soon are one component
+and cost one look a block; a bucket of m unlike members costs m * m / 2 looks. Its members are held, some 150 bytes each.
 
 ``near_groups`` finds near copies by the similarity of their five-word shingles. Fingerprints of shingles lie too
 far apart for that (some nine bits of 64 at a similarity of 0.8), so candidates come from four fingerprints of the
@@ -121,6 +122,70 @@ def local_forest(prints: np.ndarray, index: int, bits: int, first_wide: int = 1,
         label = least
 
 
+class Crowd:
+    """Exact components of a bucket of any size, whose rows (node, prints) come in blocks."""
+
+    def __init__(self, word: int, bits: int, first_wide: int, wide_bits: int):
+        self.word, self.bits, self.first_wide, self.wide_bits = word, bits, first_wide, wide_bits
+        self.blocks: list[np.ndarray] = []
+        self.nodes = np.zeros(0, np.int64)
+        self.label = np.zeros(0, np.int64)  # by row, the position of a row of its component, the same for all
+
+    def add(self, rows: np.ndarray) -> list[tuple]:
+        """Links that join the rows to each other and to those before."""
+        prints = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
+        label = local_forest(prints, self.word, self.bits, self.first_wide, self.wide_bits)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        made = [(rows[label[at], 0], rows[at, 0])]
+        base, s = len(self.label), 0
+        self.nodes = np.append(self.nodes, rows[:, 0])
+        self.label = np.append(self.label, label + base)
+        for block in self.blocks:
+            own, theirs = self.label[base:], self.label[s : s + len(block)]
+            kinds, many = np.unique(own, return_counts=True)
+            usual = kinds[many.argmax()]
+            # All pairs but those that the usual component holds already.
+            for a, b in ((own != usual, theirs == theirs), (own == usual, theirs != usual)):
+                if a.any() and b.any():
+                    made += self._joined(own[a], theirs[b], prints[a], block[b])
+            s += len(block)
+        self.blocks.append(prints)
+        return [x for x in made if len(x[0])]
+
+    def _joined(self, own: np.ndarray, theirs: np.ndarray, mine: np.ndarray, block: np.ndarray) -> list[tuple]:
+        pairs: set[tuple[int, int]] = set()
+        for s in range(0, len(mine), 64):
+            far = np.zeros((len(mine[s : s + 64]), len(block)), np.int64)
+            for w in range(self.first_wide, block.shape[1]):
+                far += np.bitwise_count(mine[s : s + 64, None, w] ^ block[None, :, w])
+            near = far <= self.wide_bits
+            if self.word >= 0:
+                near &= np.bitwise_count(mine[s : s + 64, None, self.word] ^ block[None, :, self.word]) <= self.bits
+            i, j = np.nonzero(near)
+            x, y = own[s + i], theirs[j]
+            if (x != y).any():
+                pairs.update(map(tuple, np.unique(np.column_stack([x, y])[x != y], axis=0).tolist()))
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for x, y in sorted(pairs):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if not up:
+            return []
+        was = np.array(sorted(up))
+        now = np.array([root(x) for x in was.tolist()])
+        at = np.minimum(np.searchsorted(was, self.label), len(was) - 1)
+        self.label = np.where(was[at] == self.label, now[at], self.label)
+        return [(self.nodes[now], self.nodes[was])]
+
+
 def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool = False):
     """Over rows (sig, word, node, prints) sorted by sig: links of nodes, or the members of large buckets."""
 
@@ -137,29 +202,13 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool =
             at = np.flatnonzero(label != np.arange(len(label)))
             return [(rows[label[at], 0], rows[at, 0])] if len(at) else []
 
-        leaders: list[np.ndarray] = []  # of the large bucket, after the last cut
-
-        def led(rows: np.ndarray) -> list[tuple]:
-            made, word = [], int(rows[0, 0])
-            for s in range(0, len(rows), BUCKET):
-                part = rows[s : s + BUCKET, 1:]
-                for chief in leaders:
-                    at = np.flatnonzero(_near(part[:, 1:], chief[1:], word))
-                    if len(at):
-                        made.append((np.full(len(at), chief[0]), part[at, 0]))
-                        part = np.delete(part, at, axis=0)
-                    if not len(part):
-                        break
-                if len(part):
-                    label = local_forest(np.ascontiguousarray(part[:, 1:]).view(np.uint64), word, bits, first_wide, wide_bits)
-                    at = np.flatnonzero(label != np.arange(len(label)))
-                    made.append((part[label[at], 0], part[at, 0]))
-                    leaders.extend(part[np.unique(label)])
-            return made
-
-        def _near(rows: np.ndarray, chief: np.ndarray, word: int) -> np.ndarray:
-            each = np.bitwise_count((rows ^ chief).view(np.uint64))
-            return (each[:, word] <= bits) & (each[:, first_wide:].sum(axis=1, dtype=np.int64) <= wide_bits)
+        crowd: Crowd | None = None  # of the large bucket, after the last cut
+
+        def crowded(rows: np.ndarray) -> list[tuple]:
+            nonlocal crowd
+            if crowd is None:
+                crowd = Crowd(int(rows[0, 0]), bits, first_wide, wide_bits)
+            return [x for s in range(0, len(rows), BUCKET) for x in crowd.add(rows[s : s + BUCKET, 1:])]
 
         def closed() -> list[tuple]:
             rows = np.concatenate(held) if held else np.zeros((0, prints + 2), np.int64)
@@ -181,7 +230,7 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool =
                     large = held_sig
                     for x in [*held, part]:
                         if last:
-                            found += led(x)
+                            found += crowded(x)
                         else:
                             over.append(np.column_stack([np.full(len(x), held_sig), x]))
                     held = []
@@ -192,7 +241,7 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool =
                 if held_sig is not None and large is None:
                     found += closed()
                 large, held = None, []
-                leaders.clear()
+                crowd = None
                 sizes = ends - edges
                 body = slice(first, len(edges) - 1)
                 pairs = edges[body][sizes[body] == 2]
@@ -206,8 +255,8 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool =
                         found.append((x[near, 1], y[near, 1]))
                 for s, e in zip(edges[body][sizes[body] > 2].tolist(), ends[body][sizes[body] > 2].tolist(), strict=True):
                     if e - s > BUCKET and last:
-                        found += led(rest[s:e])
-                        leaders.clear()
+                        found += crowded(rest[s:e])
+                        crowd = None
                     elif e - s > BUCKET:
                         over.append(table[s:e])
                     else:
@@ -216,7 +265,7 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool =
                 if len(held[0]) > BUCKET:
                     large = held_sig
                     if last:
-                        found += led(held[0])
+                        found += crowded(held[0])
                     else:
                         over.append(table[edges[-1] :])
                     held = []

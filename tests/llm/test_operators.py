@@ -457,6 +457,23 @@ def test_crowded_buckets_with_verification(spark, monkeypatch):
     assert {n: got.get(n, n) for n, *_ in rows} == {n: n // 1000 * 1000 for n, *_ in rows}
 
 
+def test_crowded_stars_with_verification(spark, monkeypatch):
+    """Copies that verify with their original alone, and random neighbours, in one bucket larger than it may be: brute-force components."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rng = random.Random(9)
+    sketches = [0] + [7 << 3 * i for i in range(40)]
+    sketches += [(1 << 122) ^ sum(1 << b for b in rng.sample(range(14), 5)) for _ in range(60)]
+    sketches = sorted(set(sketches), key=lambda _: rng.random())
+    near = [[(x ^ y).bit_count() <= 3 for y in sketches] for x in sketches]
+    want = list(range(len(sketches)))
+    while (least := [min(want[j] for j, linked in enumerate(row) if linked) for row in near]) != want:
+        want = least
+    rows = [(i, 12345, x & (1 << 62) - 1, x >> 62) for i, x in enumerate(sketches)]
+    nodes = spark.createDataFrame(rows, "node long, fp0 long, fp1 long, fp2 long").repartition(3)
+    got = {r.node: r.root for r in components.roots(simhash.links(nodes, 3, 1, 2, 3)).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == want and len(set(want)) < 41
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 300)] + [(500 + i, 500 + j) for i in range(8) for j in range(i)]
