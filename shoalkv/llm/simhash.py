@@ -21,9 +21,10 @@ that one component holds already: its components are exact in any order of rows.
 and cost one look a block; a bucket of m unlike members costs m * m / 2 looks. Its members are held, some 150 bytes each.
 
 ``near_groups`` finds near copies by the similarity of their five-word shingles. Fingerprints of shingles lie too
-far apart for that (some nine bits of 64 at a similarity of 0.8), so candidates come from four fingerprints of the
-set of words, which lie some four bits apart, by the same signatures; a candidate pair is verified by 1,024 further
-bits over the shingles, whose distance estimates the similarity to about 0.02.
+far apart for the signatures (some nine bits of 64 at a similarity of 0.8), and those of words find scattered edits
+only, so candidates come from the shingles themselves: 20 bands of four least hashes (MinHash), of which a pair shares
+one with probability 1 - (1 - s ** 4) ** 20, 0.99998 at 0.8, wherever the edits are. They go through the same sweep; a candidate
+pair is verified by a SimHash of 1,024 bits over the shingles, whose distance estimates the similarity to about 0.02.
 
 Defined cases: null text counts as empty; a text with fewer words than a shingle
 has one shingle, its whole sequence; one without words has fingerprint zero, linked
@@ -105,9 +106,9 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", k: int
 
 
 def local_forest(prints: np.ndarray, index: int, bits: int, first_wide: int = 1, wide_bits: int = 0) -> np.ndarray:
-    """For each of a bucket's fingerprints, the position of the first of its local component. Columns from ``first_wide`` on verify."""
+    """For each of a bucket's fingerprints, the position of the first of its local component. Columns from ``first_wide`` on verify, alone if ``index`` is negative."""
     n = len(prints)
-    same = np.bitwise_count(prints[:, None, index] ^ prints[None, :, index]) <= bits
+    same = np.bitwise_count(prints[:, None, index] ^ prints[None, :, index]) <= bits if index >= 0 else np.ones((n, n), bool)
     if prints.shape[1] > first_wide:
         at, to = np.nonzero(np.triu(same, 1))
         for s in range(0, len(at), 1 << 16):
@@ -248,7 +249,7 @@ def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool =
                 if len(pairs):
                     x, y = rest[pairs], rest[pairs + 1]
                     each = np.bitwise_count((x[:, 2:] ^ y[:, 2:]).view(np.uint64)).astype(np.int64)
-                    near = each[np.arange(len(each)), x[:, 0]] <= bits
+                    near = (x[:, 0] < 0) | (each[np.arange(len(each)), x[:, 0]] <= bits)
                     if prints > first_wide:
                         near &= each[:, first_wide:].sum(axis=1) <= wide_bits
                     if near.any():
@@ -306,6 +307,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held.combine_chunks().to_batches()
 
 
+def _full(keyed: DataFrame, nodes: DataFrame, prints: list[str], name: str) -> DataFrame:
+    """The members of signatures that aren't alone, with their fingerprints, sorted by signature."""
+    # First the signatures alone, for most have one member; then the fingerprints of the rest.
+    shared = written(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, word long, node long"), name)
+    return shared.join(nodes, "node").select("sig", "word", "node", *prints).repartition("sig").sortWithinPartitions("sig")
+
+
+def banded_links(nodes: DataFrame, wide: int, wide_bits: int) -> DataFrame:
+    """``nodes`` has ``node``, ``bands`` (of equal ones in one place, two nodes are candidates) and fp0, fp1, ... (``wide``) to verify; returns links ``a``, ``b``."""
+    prints = [f"fp{i}" for i in range(wide)]
+    each = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = each.select(F.xxhash64("band", "key").alias("sig"), F.lit(-1).cast("long").alias("word"), "node")
+    swept = _full(keyed, nodes, prints, "shared").mapInArrow(_sweep(wide, 0, 0, wide_bits, True), "a long, b long, sig long, word int")
+    return written(swept, "swept").select("a", "b")
+
+
 def links(nodes: DataFrame, bits: int, words: int = 1, wide: int = 0, wide_bits: int = 0) -> DataFrame:
     """``nodes`` has ``node`` and fp0, fp1, ... (``words`` to find candidates by, then ``wide`` to verify them), each combination once;
     returns links ``a``, ``b`` that keep the components."""
@@ -315,11 +332,8 @@ def links(nodes: DataFrame, bits: int, words: int = 1, wide: int = 0, wide_bits:
     members = nodes.select("node", *prints[:words], F.explode(F.array(*map(F.lit, range(words)))).alias("word"), F.lit(None).cast("long").alias("sig"))
     for cut in range(len(CUTS)):
         keyed = _signed(members, prints[:words], cut)
-        # First the signatures alone, for most have one member; then the fingerprints of the rest.
-        shared = keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, word long, node long")
-        shared = written(shared, f"shared{cut}")
-        full = shared.join(nodes, "node").select("sig", "word", "node", *prints)
-        swept = full.repartition("sig").sortWithinPartitions("sig").mapInArrow(_sweep(words + wide, bits, words, wide_bits, wide > 0 or cut == len(CUTS) - 1), "a long, b long, sig long, word int")
+        full = _full(keyed, nodes, prints, f"shared{cut}")
+        swept = full.mapInArrow(_sweep(words + wide, bits, words, wide_bits, wide > 0 or cut == len(CUTS) - 1), "a long, b long, sig long, word int")
         swept = written(swept, f"swept{cut}")
         found.append(swept.where("sig is null").select("a", "b"))
         large = swept.where("sig is not null").select(F.col("a").alias("node"), "word", "sig")
@@ -332,12 +346,17 @@ def links(nodes: DataFrame, bits: int, words: int = 1, wide: int = 0, wide_bits:
     return out
 
 
-def _grouped(rows: DataFrame, prints: list[str], bits: int, words: int, wide_bits: int) -> DataFrame:
-    """``rows`` has doc_id and the fingerprints; adds component_id."""
+def _grouped(rows: DataFrame, prints: list[str], bits: int, wide_bits: int = 0) -> DataFrame:
+    """``rows`` has doc_id and the fingerprints, and bands if the fingerprints only verify; adds component_id."""
     node = F.col("fp0") if len(prints) == 1 else F.xxhash64(*prints)
     rows = rows.withColumn("node", node)
-    nodes = rows.groupBy("node", *prints).agg(F.min("doc_id").alias("least"))
-    root = components.roots(links(nodes.select("node", *prints), bits, words, len(prints) - words, wide_bits))
+    if "bands" in rows.columns:
+        nodes = written(rows.groupBy("node", *prints).agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")), "nodes")
+        linked = banded_links(nodes, len(prints), wide_bits)
+    else:
+        nodes = rows.groupBy("node", *prints).agg(F.min("doc_id").alias("least"))
+        linked = links(nodes.select("node", *prints), bits)
+    root = components.roots(linked)
     rooted = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node").drop("node")
@@ -345,24 +364,33 @@ def _grouped(rows: DataFrame, prints: list[str], bits: int, words: int, wide_bit
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, bits: int = 2) -> DataFrame:
     """One row per row of ``df``: doc_id, fp0 (of its k-word shingles), component_id (the smallest id of its component)."""
-    return _grouped(written(fingerprints(df, text, key, k), "fingerprints"), ["fp0"], bits, 1, 0)
+    return _grouped(written(fingerprints(df, text, key, k), "fingerprints"), ["fp0"], bits)
 
 
-#: Near copies: words in a shingle, word-set fingerprints and the bits in which one of them may differ, 64-bit parts of the sketch
-#: that verifies.
-NEAR_SHINGLE, NEAR_WORDS, NEAR_BITS, NEAR_PARTS = 5, 4, 3, 16
+#: Near copies: words in a shingle, 64-bit parts of the sketch that verifies, bands and the least hashes in each.
+NEAR_SHINGLE, NEAR_PARTS, NEAR_BANDS, NEAR_ROWS = 5, 16, 20, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, NEAR_BANDS * NEAR_ROWS), np.uint64) | np.uint64(1)
 
 
-def sketched(text: bytes, k: int = NEAR_SHINGLE, words: int = NEAR_WORDS, parts: int = NEAR_PARTS) -> list[int]:
-    """Fingerprints of the set of words, then of the set of shingles. An item is hashed once; further hashes are mixed from it."""
-    out = []
-    for items, many in ((set(text.lower().split()), words), (set(shingles(text, k)), parts)):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
-        for _ in range(many):
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            out.append(_majority_of(h))
-    return out
+def _bands(h: np.ndarray) -> list[int]:
+    """A hash for each band of the set with these hashes."""
+    least = np.full(NEAR_BANDS * NEAR_ROWS, (1 << 64) - 1, np.uint64)
+    for s in range(0, len(h), 1 << 12):
+        each = (h[None, s : s + (1 << 12)] ^ _MIX[0][:, None]) * _MIX[1][:, None]
+        least = np.minimum(least, each.min(axis=1))
+    return [xxhash.xxh64_intdigest(r.tobytes(), SEED) - (1 << 63) for r in least.reshape(NEAR_BANDS, NEAR_ROWS)]
+
+
+def sketched(text: bytes, k: int = NEAR_SHINGLE, parts: int = NEAR_PARTS) -> tuple[list[int], list[int]]:
+    """The sketch and the bands of the set of shingles. A shingle is hashed once; further hashes are mixed from it."""
+    items, out = set(shingles(text, k)), []
+    h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
+    bands = _bands(h)
+    for _ in range(parts):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out.append(_majority_of(h))
+    return out, bands
 
 
 def near_limit(similarity: float, parts: int = NEAR_PARTS) -> int:
@@ -374,15 +402,15 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", similari
     """One row per row of ``df``: doc_id, stamp (hash of its sketch), component_id: the smallest id among its near copies."""
     rows = document(df, text, key)
     rows = rows.select("doc_id", rows.text.cast("binary").alias("text"))
-    prints = [f"fp{i}" for i in range(NEAR_WORDS + NEAR_PARTS)]
+    prints = [f"fp{i}" for i in range(NEAR_PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [sketched(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*made, strict=True))], names=["doc_id", *prints])
+            made, bands = zip(*(sketched(x) for x in batch.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*made, strict=True)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", *prints, "bands"])
 
-    found = written(rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{p} long" for p in prints)])), "sketches")
-    return _grouped(found, prints, NEAR_BITS, NEAR_WORDS, near_limit(similarity)).select("doc_id", "component_id")
+    found = written(rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{p} long" for p in prints), "bands array<long>"])), "sketches")
+    return _grouped(found, prints, 0, near_limit(similarity)).select("doc_id", "component_id")
 
 
 def hex_of(fingerprint: str) -> F.Column:
