@@ -9,23 +9,31 @@ so a group of copies of any size sends one row per task.
 
 A digest that was seen twice or more is a hit, and hits are compared by their full
 bytes: only their texts are read again and grouped by the bytes themselves. Should a
-digest stand for several texts, each text becomes a group of its own.
+digest stand for several texts, each text becomes a group of its own. The texts of other rows never
+leave their scan: up to ``BROADCAST`` hits are sent to the scans, more are joined, behind the engine's own
+bloom filter over their digests.
+
+``state`` names a folder that outlives the call: store, stream checkpoint and states. A later call
+(of another session too) with new rows meets the state of all rows before, and returns its own rows with
+the first place and the count over all. What an earlier call has returned isn't taken back.
 
 Defined cases: null text counts as empty; of equal texts the smallest id stays, a
 null id comes last, and of repeated rows with one id the first in the store stays;
 an empty table gives no rows; further columns are kept by ``distinct`` and passed
-over by ``classes``, whatever their names.
+over by ``classes``, whatever their names; texts of any length are one row of the store each. Calls on
+one ``state`` folder must follow one another and have the same columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, scratch
+from .common import SPACE, scratch, written
 
 #: Files of the store in one micro-batch.
 FILES_PER_BATCH = 1000
@@ -39,6 +47,20 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: Rows of hits, some 250 bytes each, that are sent to every scan; more are joined.
+BROADCAST = 100_000
+
+#: Settings of the join with more hits than that: a bloom filter of their digests, of 64 MB at most, goes before the shuffle.
+FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "64000000",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "8000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "536870912",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "134217728",
+}
+
 
 @contextmanager
 def _settings(spark: SparkSession, values: dict[str, str]):
@@ -58,11 +80,11 @@ def normalised(text: Column) -> Column:
 
 
 class Store:
-    """The landed rows: ``row`` (all columns), ``doc_id``, ``digest``, ``norm`` (null where it equals ``text``)."""
+    """The landed rows: ``row`` (all columns), ``doc_id``, ``digest``, ``norm`` (null where it equals ``text``), ``call``."""
 
-    def __init__(self, df: DataFrame, text: str, key: str, digest_bytes: int):
-        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, "store")
-        self.text = F.coalesce("norm", F.col("text"), F.lit(""))
+    def __init__(self, df: DataFrame, text: str, key: str, digest_bytes: int, folder: str):
+        self.spark, self.path, self.call = df.sparkSession, f"{folder}/store", uuid.uuid4().hex
+        self.body = F.coalesce("norm", F.col("text"), F.lit(""))
         norm = normalised(df[f"`{text}`"].cast("string"))
         landed = df.select(
             F.struct(*[df[f"`{c}`"] for c in df.columns if c != text]).alias("row"),
@@ -71,18 +93,29 @@ class Store:
             norm.alias("norm"),
         )
         digest = F.unhex(F.sha2("norm", 256))
-        landed = landed.select("row", "text", "doc_id", (digest if digest_bytes == 32 else F.substring(digest, 1, digest_bytes)).alias("digest"), F.when(~F.col("norm").eqNullSafe(F.col("text")), F.col("norm")).alias("norm"))
-        landed.write.option("compression", "zstd").parquet(self.path)
+        landed = landed.select(
+            "row", "text", "doc_id",
+            (digest if digest_bytes == 32 else F.substring(digest, 1, digest_bytes)).alias("digest"),
+            F.when(~F.col("norm").eqNullSafe(F.col("text")), F.col("norm")).alias("norm"),
+            F.lit(self.call).alias("call"),
+        )
+        landed.write.mode("append").option("compression", "zstd").parquet(self.path)
         self.schema = landed.schema
 
     def rows(self) -> DataFrame:
-        place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-        return self.spark.read.schema(self.schema).parquet(self.path).select("*", *place)
+        return self.spark.read.schema(self.schema).parquet(self.path).select("*", *_PLACE())
+
+    def own(self) -> DataFrame:
+        """This call's rows."""
+        return self.rows().where(F.col("call") == self.call)
 
     def stream(self, files: int) -> DataFrame:
-        place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
         rows = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files).parquet(self.path)
-        return rows.select("doc_id", "digest", *place)
+        return rows.select("doc_id", "digest", *_PLACE())
+
+
+def _PLACE() -> tuple[Column, Column]:
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
 
 
 def _first() -> Column:
@@ -90,52 +123,63 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at")).alias("first")
 
 
-def _states(store: Store, files: int) -> DataFrame:
-    """Digest, first place and count, as the stream's state has them after the last micro-batch."""
-    spark, out = store.spark, scratch(store.spark, "states")
+def _states(store: Store, folder: str, files: int) -> DataFrame:
+    """Digest and count, as the stream's state has them after the last micro-batch."""
+    spark, out = store.spark, f"{folder}/states"
     changed = store.stream(files).groupBy("digest").agg(_first(), F.count(F.lit(1)).alias("n"))
 
-    spark.createDataFrame([], changed.schema).write.parquet(f"{out}/batch=-1")  # for a store without rows
+    spark.createDataFrame([], changed.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # for a store without rows
 
     def keep(batch: DataFrame, number: int) -> None:  # a repeated batch writes over its own folder
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
     with _settings(spark, STATE):
-        query = changed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+        query = changed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
     schema = T.StructType([*changed.schema.fields, T.StructField("batch", T.IntegerType())])
-    latest = spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max(F.struct("batch", "first", "n")).alias("last"))
-    return latest.select("digest", "last.first", "last.n")
-
-
-def _grouped(df: DataFrame, text: str, key: str, files: int, digest_bytes: int) -> DataFrame:
-    """The store's rows with ``first`` and ``n`` of their group of equal texts."""
-    store = Store(df, text, key, digest_bytes)
-    states = _states(store, files)
-    hits = states.where("n > 1").select("digest")
-    bytes_of = store.rows().select("digest", store.text.alias("body"), "doc_id", "file", "at")
-    same = bytes_of.join(hits, "digest").groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n"))
-    several = same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
-    path = scratch(store.spark, "several")
-    several.write.parquet(path)
-    several = store.spark.read.schema(several.schema).parquet(path)
+    return spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max("n").alias("n"))  # a count only rises
+
+
+def _sent(small: DataFrame) -> DataFrame:
+    """A written table, sent to all scans if its rows are few."""
+    return F.broadcast(small) if small.limit(BROADCAST + 1).count() <= BROADCAST else small
+
+
+def _grouped(df: DataFrame, text: str, key: str, files: int, digest_bytes: int, state: str | None) -> DataFrame:
+    """The store's rows of this call, with ``first`` and ``n`` of their group of equal texts, null for a group of one."""
+    spark = df.sparkSession
+    folder = state.rstrip("/") if state else scratch(spark, "dedup")
+    store = Store(df, text, key, digest_bytes, folder)
+    hits = _states(store, folder, files).where("n > 1").select("digest")
+    if state:  # of all hits so far, those of this call
+        hits = hits.join(store.own().select("digest"), "digest", "left_semi")
+    hits = written(hits, "hits")
+    with _settings(spark, FILTER):
+        texts = store.rows().select("digest", store.body.alias("body"), "doc_id", "file", "at").join(_sent(hits), "digest")
+        same = written(texts.groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n")), "same")
+    several = written(same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "several")
+    groups = same.where("n > 1").select("digest", "first", "n")
     if several.isEmpty():
-        return store.rows().join(states, "digest")
-    split = store.rows().join(several, "digest", "left_semi").withColumn("body", store.text)
+        return store.own().join(_sent(groups), "digest", "left")
+    split = store.own().join(several, "digest", "left_semi").withColumn("body", store.body)
     split = split.join(same, ["digest", "body"]).drop("body")
-    return store.rows().join(several, "digest", "left_anti").join(states, "digest").unionByName(split)
+    return store.own().join(several, "digest", "left_anti").join(groups, "digest", "left").unionByName(split)
+
+
+def _kept() -> Column:
+    return F.col("first").isNull() | ((F.col("file") == F.col("first.file")) & (F.col("at") == F.col("first.at")))
 
 
-def classes(df: DataFrame, text: str = "text", key: str = "doc_id", files: int = FILES_PER_BATCH, digest_bytes: int = 32) -> DataFrame:
+def classes(df: DataFrame, text: str = "text", key: str = "doc_id", files: int = FILES_PER_BATCH, digest_bytes: int = 32, state: str | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, digest."""
-    rows = _grouped(df, text, key, files, digest_bytes)
-    kept = (F.col("file") == F.col("first.file")) & (F.col("at") == F.col("first.at"))
-    return rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "digest")
+    rows = _grouped(df, text, key, files, digest_bytes, state)
+    keep = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), _kept().alias("kept"), "digest")
 
 
-def distinct(df: DataFrame, text: str = "text", key: str = "doc_id", files: int = FILES_PER_BATCH) -> DataFrame:
+def distinct(df: DataFrame, text: str = "text", key: str = "doc_id", files: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    rows = _grouped(df, text, key, files, 32).where((F.col("file") == F.col("first.file")) & (F.col("at") == F.col("first.at")))
+    rows = _grouped(df, text, key, files, 32, state).where(_kept())
     return rows.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
 
 

@@ -146,6 +146,29 @@ def test_dedup_keeps_rows_and_columns(docs, rows, empty):
     assert dedup.classes(empty).count() == 0 and dedup.distinct(empty).count() == 0
 
 
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_dedup_joins_hits_that_are_too_many_to_send(docs, rows, monkeypatch, digest_bytes):
+    monkeypatch.setattr(dedup, "BROADCAST", 0)
+    got = dedup.classes(docs, digest_bytes=digest_bytes).cache()
+    assert keyed(got, "doc_id", "keep_id", "group_size") == sorted((w[:3] for w in dedup_brute(rows)[1]), key=str)
+    assert got.where("kept").count() == len(dedup_brute(rows)[0])
+
+
+def test_dedup_meets_the_state_of_earlier_calls(spark, rows, tmp_path):
+    """Three calls on one folder, each of another session: what a call returns is its own rows, against all so far."""
+    own = [r for r in rows if r[0] is not None]
+    parts, seen = [own[0::3], own[1::3], own[2::3]], []
+    for part in parts:
+        seen += part
+        session = spark.newSession()
+        got = dedup.classes(session.createDataFrame(part, SCHEMA), state=str(tmp_path / "state"), files=1)
+        want = Counter(w[:3] for w in dedup_brute(seen)[1])
+        found = Counter((r.doc_id, r.keep_id, r.group_size) for r in got.collect())
+        assert sum(found.values()) == len(part) and not found - want
+    again = dedup.distinct(spark.createDataFrame(parts[0], SCHEMA), state=str(tmp_path / "state"))
+    assert again.count() == 0  # all of it has been met
+
+
 # 3: PPM.
 
 
