@@ -7,6 +7,7 @@ reach), so a lost executor costs a re-read and never a recomputed Python pass.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ _own_dir: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir`` (a local folder if that is unset, as in tests)."""
+    """A fresh path under ``spark.checkpoint.dir``; if that is unset, under a folder of this machine, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="shoalkv-"))
         base = _own_dir[0]
@@ -42,6 +45,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(table: DataFrame, most: int) -> DataFrame:
+    """A written table, marked to be sent to all scans if it has at most so many rows; else it will be joined by a shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def document(df: DataFrame, text: str, key: str) -> DataFrame:
     """Columns ``key`` (long) and ``text`` (string, null as empty) alone, whatever else ``df`` holds."""
     return df.select(

@@ -2,17 +2,22 @@
 
 Each round is two aggregations with partial sums and two joins that AQE may split;
 links and labels stay in tables in the shared scratch folder, and the driver sees
-counts only.
+counts only. ``FOLD`` links or fewer, some ten megabytes, are one task's work instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 MAX_ROUNDS = 60
+FOLD = 100_000
 
 
 def _state(links: DataFrame) -> tuple:
@@ -32,11 +37,32 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for s in range(0, len(nodes), 1 << 16):
+        part = nodes[s : s + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.array([top(x) for x in part], np.int64))], names=["a", "b"])
+
+
 def roots(links: DataFrame) -> DataFrame:
     """``links`` has longs ``a`` and ``b``; returns ``node`` and ``root`` (the smallest node it reaches), without the roots' own rows."""
     now = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
-    if state[0]:
+    if 0 < state[0] <= FOLD:
+        now = written(now.repartition(1).mapInArrow(_folded, "a long, b long"), "folded")
+    elif state[0]:
         for _ in range(MAX_ROUNDS):
             now = written(_small(_large(now)), "links")
             before, state = state, _state(now)

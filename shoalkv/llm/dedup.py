@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, scratch, written
+from .common import SPACE, scratch, sent, written
 
 #: Files of the store in one micro-batch.
 FILES_PER_BATCH = 1000
@@ -140,11 +140,6 @@ def _states(store: Store, folder: str, files: int) -> DataFrame:
     return spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max("n").alias("n"))  # a count only rises
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """A written table, sent to all scans if its rows are few."""
-    return F.broadcast(small) if small.limit(BROADCAST + 1).count() <= BROADCAST else small
-
-
 def _grouped(df: DataFrame, text: str, key: str, files: int, digest_bytes: int, state: str | None) -> DataFrame:
     """The store's rows of this call, with ``first`` and ``n`` of their group of equal texts, null for a group of one."""
     spark = df.sparkSession
@@ -155,12 +150,12 @@ def _grouped(df: DataFrame, text: str, key: str, files: int, digest_bytes: int,
         hits = hits.join(store.own().select("digest"), "digest", "left_semi")
     hits = written(hits, "hits")
     with _settings(spark, FILTER):
-        texts = store.rows().select("digest", store.body.alias("body"), "doc_id", "file", "at").join(_sent(hits), "digest")
+        texts = store.rows().select("digest", store.body.alias("body"), "doc_id", "file", "at").join(sent(hits, BROADCAST), "digest")
         same = written(texts.groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n")), "same")
     several = written(same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "several")
     groups = same.where("n > 1").select("digest", "first", "n")
     if several.isEmpty():
-        return store.own().join(_sent(groups), "digest", "left")
+        return store.own().join(sent(groups, BROADCAST), "digest", "left")
     split = store.own().join(several, "digest", "left_semi").withColumn("body", store.body)
     split = split.join(same, ["digest", "body"]).drop("body")
     return store.own().join(several, "digest", "left_anti").join(groups, "digest", "left").unionByName(split)

@@ -15,29 +15,20 @@ bits, then pairs of bits). After three cuts at most 8 + 3 bits are free, so no b
 can hold more than 2,048 distinct fingerprints: all links are found at any skew, in
 bounded memory, with no cap. Equal fingerprints are one node throughout.
 
-With verification (below) many nodes may share a fingerprint and differ in the sketch, so no cut makes their bucket
-small. A bucket larger than ``BUCKET`` is then compared block by block with all of its earlier blocks, less the pairs
-that one component holds already: its components are exact in any order of rows. Near copies of one text soon are one component
-and cost one look a block; a bucket of m unlike members costs m * m / 2 looks. Its members are held, some 150 bytes each.
-
-``near_groups`` finds near copies by the similarity of their five-word shingles. Fingerprints of shingles lie too
-far apart for the signatures (some nine bits of 64 at a similarity of 0.8), and those of words find scattered edits
-only, so candidates come from the shingles themselves: 20 bands of four least hashes (MinHash), of which a pair shares
-one with probability 1 - (1 - s ** 4) ** 20, 0.99998 at 0.8, wherever the edits are. They go through the same sweep; a candidate
-pair is verified by a SimHash of 1,024 bits over the shingles, whose distance estimates the similarity to about 0.02.
+Near copies by the similarity of their shingles, which fingerprints can't find at 0.8, are in ``near``.
 
 Defined cases: null text counts as empty; a text with fewer words than a shingle
 has one shingle, its whole sequence; one without words has fingerprint zero, linked
 like any other; rows with a null id are linked, but give no component its id, which is
-null only if all its ids are; repeated rows are separate rows of one component; an
-empty table gives no rows; further columns are passed over by ``groups`` and kept by ``survivors``.
+null only if all its ids are; repeated rows are separate rows of one component; very long
+texts are hashed a stretch of shingles at a time, some thirty bytes of memory a word; an empty table gives no rows;
+further columns are passed over.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import document, slices, written
+from .common import document, sent, slices, written
+from .near import survivors  # noqa: F401  the same operator, by the similarity of shingles
 
 SEED = 42
 BUCKET = 2048
@@ -56,6 +48,11 @@ CUTS = [
     (0x5555555555555555, 0xAAAAAAAAAAAAAAAA),
     (0x3333333333333333, 0xCCCCCCCCCCCCCCCC),
 ]
+#: Rows (two longs each) of linked fingerprints that are sent to every scan; more are joined.
+BROADCAST = 500_000
+#: Shingles hashed at once.
+STRETCH = 1 << 16
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -65,31 +62,41 @@ def masks(cut: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def shingles(text: bytes, k: int) -> list[bytes]:
-    words = text.lower().split()
-    n = len(words)
-    if n <= k:
-        return [b" ".join(words)] if n else []
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return [line[a:b] for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())]  # noqa: B905
-
-
-def fingerprint(text: bytes, k: int = 3, seed: int = SEED) -> int:
-    return _majority(shingles(text, k), seed)
+def _single(text: bytes) -> np.ndarray:
+    """The bytes with A-Z in lower case and one space between words, none around them."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    space = _SPACE[data]
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]
+    out = np.where(space, np.uint8(32), data)[keep]
+    return out[:-1] if len(out) and out[-1] == 32 else out
 
 
-def _majority(items: list[bytes], seed: int) -> int:
-    if not items:
-        return 0
-    return _majority_of(np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(seed)), np.uint64, len(items)))
+def shingle_hashes(text: bytes, k: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the k-word shingles, repeats included, some at a time; of fewer words, of the whole sequence."""
+    data = _single(text)
+    if not len(data):
+        return
+    line, gaps = data.tobytes(), np.flatnonzero(data == 32)
+    n = len(gaps) + 1
+    if n <= k:
+        yield np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
+        return
+    for s in range(0, n - k + 1, STRETCH):
+        e = min(s + STRETCH, n - k + 1)
+        starts = (gaps[s - 1 : e - 1] + 1).tolist() if s else [0, *(gaps[: e - 1] + 1).tolist()]
+        ends = gaps[s + k - 1 : e + k - 1].tolist()
+        ends += [len(line)] * (e - s - len(ends))
+        yield np.fromiter((xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, e - s)
 
 
-def _majority_of(h: np.ndarray) -> int:
-    """Bit by bit, whether it is set in more than half of the hashes."""
-    ones = np.concatenate([np.bincount(c, minlength=256) @ _BITS for c in h.view(np.uint8).reshape(-1, 8).T])
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+def fingerprint(text: bytes, k: int = 3, seed: int = SEED) -> int:
+    """Bit by bit, whether it is set in more than half of the shingles' hashes; zero without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, k, seed):
+        ones += np.concatenate([np.bincount(c, minlength=256) @ _BITS for c in h.view(np.uint8).reshape(-1, 8).T])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0]) if n else 0
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3) -> DataFrame:
@@ -105,16 +112,10 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", k: int
     return rows.mapInArrow(run, "doc_id long, fp0 long")
 
 
-def local_forest(prints: np.ndarray, index: int, bits: int, first_wide: int = 1, wide_bits: int = 0) -> np.ndarray:
-    """For each of a bucket's fingerprints, the position of the first of its local component. Columns from ``first_wide`` on verify, alone if ``index`` is negative."""
+def local_forest(prints: np.ndarray, bits: int) -> np.ndarray:
+    """For each of a bucket's fingerprints, the position of the first of its local component."""
     n = len(prints)
-    same = np.bitwise_count(prints[:, None, index] ^ prints[None, :, index]) <= bits if index >= 0 else np.ones((n, n), bool)
-    if prints.shape[1] > first_wide:
-        at, to = np.nonzero(np.triu(same, 1))
-        for s in range(0, len(at), 1 << 16):
-            i, j = at[s : s + (1 << 16)], to[s : s + (1 << 16)]
-            far = np.bitwise_count(prints[i, first_wide:] ^ prints[j, first_wide:]).sum(axis=1, dtype=np.int64) > wide_bits
-            same[i[far], j[far]] = same[j[far], i[far]] = False
+    same = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= bits
     label = np.arange(n)
     while True:
         least = np.where(same, label[None, :], n).min(axis=1)
@@ -123,305 +124,97 @@ def local_forest(prints: np.ndarray, index: int, bits: int, first_wide: int = 1,
         label = least
 
 
-class Crowd:
-    """Exact components of a bucket of any size, whose rows (node, prints) come in blocks."""
-
-    def __init__(self, word: int, bits: int, first_wide: int, wide_bits: int):
-        self.word, self.bits, self.first_wide, self.wide_bits = word, bits, first_wide, wide_bits
-        self.blocks: list[np.ndarray] = []
-        self.nodes = np.zeros(0, np.int64)
-        self.label = np.zeros(0, np.int64)  # by row, the position of a row of its component, the same for all
-
-    def add(self, rows: np.ndarray) -> list[tuple]:
-        """Links that join the rows to each other and to those before."""
-        prints = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
-        label = local_forest(prints, self.word, self.bits, self.first_wide, self.wide_bits)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        made = [(rows[label[at], 0], rows[at, 0])]
-        base, s = len(self.label), 0
-        self.nodes = np.append(self.nodes, rows[:, 0])
-        self.label = np.append(self.label, label + base)
-        for block in self.blocks:
-            own, theirs = self.label[base:], self.label[s : s + len(block)]
-            kinds, many = np.unique(own, return_counts=True)
-            usual = kinds[many.argmax()]
-            # All pairs but those that the usual component holds already.
-            for a, b in ((own != usual, theirs == theirs), (own == usual, theirs != usual)):
-                if a.any() and b.any():
-                    made += self._joined(own[a], theirs[b], prints[a], block[b])
-            s += len(block)
-        self.blocks.append(prints)
-        return [x for x in made if len(x[0])]
-
-    def _joined(self, own: np.ndarray, theirs: np.ndarray, mine: np.ndarray, block: np.ndarray) -> list[tuple]:
-        pairs: set[tuple[int, int]] = set()
-        for s in range(0, len(mine), 64):
-            far = np.zeros((len(mine[s : s + 64]), len(block)), np.int64)
-            for w in range(self.first_wide, block.shape[1]):
-                far += np.bitwise_count(mine[s : s + 64, None, w] ^ block[None, :, w])
-            near = far <= self.wide_bits
-            if self.word >= 0:
-                near &= np.bitwise_count(mine[s : s + 64, None, self.word] ^ block[None, :, self.word]) <= self.bits
-            i, j = np.nonzero(near)
-            x, y = own[s + i], theirs[j]
-            if (x != y).any():
-                pairs.update(map(tuple, np.unique(np.column_stack([x, y])[x != y], axis=0).tolist()))
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while up.get(x, x) != x:
-                up[x] = up.get(up[x], up[x])
-                x = up[x]
-            return x
-
-        for x, y in sorted(pairs):
-            x, y = root(x), root(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-        if not up:
-            return []
-        was = np.array(sorted(up))
-        now = np.array([root(x) for x in was.tolist()])
-        at = np.minimum(np.searchsorted(was, self.label), len(was) - 1)
-        self.label = np.where(was[at] == self.label, now[at], self.label)
-        return [(self.nodes[now], self.nodes[was])]
-
-
-def _sweep(prints: int, bits: int, first_wide: int, wide_bits: int, last: bool = False):
-    """Over rows (sig, word, node, prints) sorted by sig: links of nodes, or the members of large buckets."""
+def _buckets(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (sig, node) sorted by sig, in whole buckets; a bucket over ``limit`` comes in parts, of more than ``limit`` in all."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket so far
+    size, over = 0, None
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal size
+        parts, size = held.copy(), 0
+        held.clear()
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held and held[0][0][0] != sig[0]:
+            yield out()
+        at = int(np.searchsorted(sig, sig[-1]))
+        if at:
+            held.append((sig[:at], node[:at]))
+            yield out()
+        held.append((sig[at:], node[at:]))
+        size += len(sig) - at
+        if size > limit or over == sig[-1]:
+            over = sig[-1]
+            yield out()
+
+
+def _sweep(bits: int, last: bool):
+    """Over rows (sig, node) sorted by sig: links of fingerprints, or the members of large buckets with their sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sig, held, large = None, [], None  # the last bucket so far; large: its signature if it has grown too large to hold
-
-        def out(a, b, sig, word) -> pa.RecordBatch:
-            n = len(a)
-            none = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([none(a), none(b), none(sig), pa.nulls(n, pa.int32()) if word is None else pa.array(word, pa.int32())], names=["a", "b", "sig", "word"])
-
-        def links(rows: np.ndarray, word: int) -> list[tuple]:
-            label = local_forest(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), word, bits, first_wide, wide_bits)
-            at = np.flatnonzero(label != np.arange(len(label)))
-            return [(rows[label[at], 0], rows[at, 0])] if len(at) else []
-
-        crowd: Crowd | None = None  # of the large bucket, after the last cut
-
-        def crowded(rows: np.ndarray) -> list[tuple]:
-            nonlocal crowd
-            if crowd is None:
-                crowd = Crowd(int(rows[0, 0]), bits, first_wide, wide_bits)
-            return [x for s in range(0, len(rows), BUCKET) for x in crowd.add(rows[s : s + BUCKET, 1:])]
-
-        def closed() -> list[tuple]:
-            rows = np.concatenate(held) if held else np.zeros((0, prints + 2), np.int64)
-            return links(rows[:, 1:], int(rows[0, 0])) if len(rows) > 1 else []
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)], axis=1)
-            sig, rest = table[:, 0], table[:, 1:]
-            edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            ends = np.append(edges[1:], len(sig))
-            found: list[tuple] = []
-            over: list[np.ndarray] = []
-            first = 0
-            if held_sig is not None and sig[0] == held_sig:
-                part = rest[: ends[0]]
-                if large is not None or sum(map(len, held)) + len(part) > BUCKET:
-                    large = held_sig
-                    for x in [*held, part]:
-                        if last:
-                            found += crowded(x)
-                        else:
-                            over.append(np.column_stack([np.full(len(x), held_sig), x]))
-                    held = []
-                else:
-                    held.append(part)
-                first = 1
-            if first < len(edges):
-                if held_sig is not None and large is None:
-                    found += closed()
-                large, held = None, []
-                crowd = None
-                sizes = ends - edges
-                body = slice(first, len(edges) - 1)
-                pairs = edges[body][sizes[body] == 2]
-                if len(pairs):
-                    x, y = rest[pairs], rest[pairs + 1]
-                    each = np.bitwise_count((x[:, 2:] ^ y[:, 2:]).view(np.uint64)).astype(np.int64)
-                    near = (x[:, 0] < 0) | (each[np.arange(len(each)), x[:, 0]] <= bits)
-                    if prints > first_wide:
-                        near &= each[:, first_wide:].sum(axis=1) <= wide_bits
-                    if near.any():
-                        found.append((x[near, 1], y[near, 1]))
-                for s, e in zip(edges[body][sizes[body] > 2].tolist(), ends[body][sizes[body] > 2].tolist(), strict=True):
-                    if e - s > BUCKET and last:
-                        found += crowded(rest[s:e])
-                        crowd = None
-                    elif e - s > BUCKET:
-                        over.append(table[s:e])
-                    else:
-                        found += links(rest[s:e, 1:], int(rest[s, 0]))
-                held_sig, held = sig[-1], [rest[edges[-1] :]]
-                if len(held[0]) > BUCKET:
-                    large = held_sig
-                    if last:
-                        found += crowded(held[0])
-                    else:
-                        over.append(table[edges[-1] :])
-                    held = []
-            if found:
-                yield out(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), None, None)
-            if over:
-                rows = np.concatenate(over)
-                yield out(rows[:, 2], None, rows[:, 0], rows[:, 1].astype(np.int32))
-        if held and large is None and (found := closed()):
-            yield out(found[0][0], found[0][1], None, None)
+        before, large = None, False  # the last bucket, and whether it came in parts
+        for sig, node in _buckets(batches, math.inf if last else BUCKET):
+            at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            sizes = np.diff(np.append(at, len(sig)))
+            over = np.zeros(len(at), bool) if last else sizes > BUCKET
+            over[0] |= large and sig[0] == before
+            before, large = sig[-1], bool(over[-1])
+            prints, links = node.view(np.uint64), []
+            pairs = at[(sizes == 2) & ~over]
+            pairs = pairs[np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= bits] if len(pairs) else pairs
+            links.append((node[pairs], node[pairs + 1]))
+            for s, n in zip(at[(sizes > 2) & ~over].tolist(), sizes[(sizes > 2) & ~over].tolist(), strict=True):
+                label = local_forest(prints[s : s + n], bits)
+                moved = np.flatnonzero(label != np.arange(n))
+                links.append((node[s + label[moved]], node[s + moved]))
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "sig"])
+            if over.any():
+                rows = np.repeat(over, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.nulls(int(rows.sum()), pa.int64()), pa.array(sig[rows])], names=["a", "b", "sig"])
 
     return run
 
 
-def _signed(members: DataFrame, prints: list[str], cut: int) -> DataFrame:
-    """A row for each signature of each member: sig, word, node."""
-    chosen = F.element_at(F.array(*[F.col(p) for p in prints]), F.col("word") + 1)
-    each = members.select("node", "word", "sig", chosen.alias("chosen"), F.posexplode(F.array(*map(F.lit, masks(cut)))).alias("bit", "mask"))
-    return each.select(F.xxhash64("sig", "word", "bit", F.col("chosen").bitwiseAND(F.col("mask"))).alias("sig"), F.col("word").cast("long").alias("word"), "node")
+def _signed(members: DataFrame, cut: int) -> DataFrame:
+    """A row for each signature of each member: sig, node."""
+    each = members.select("node", "sig", F.posexplode(F.array(*map(F.lit, masks(cut)))).alias("bit", "mask"))
+    return each.select(F.xxhash64("sig", "bit", F.col("node").bitwiseAND(F.col("mask"))).alias("sig"), "node")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, ...) sorted by sig, those whose sig isn't alone. One row is held back at a time."""
-    held: pa.Table | None = None  # the last row, not yet passed on
-    twin = False  # whether the row before it had its sig
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        sig = rows.column(0).to_numpy()
-        next_same = sig[1:] == sig[:-1]
-        keep = np.concatenate([[twin], next_same])[:-1] | next_same
-        twin = bool(next_same[-1]) if len(next_same) else twin
-        held = rows.slice(len(sig) - 1)
-        if keep.any():
-            yield from rows.slice(0, len(sig) - 1).filter(pa.array(keep)).combine_chunks().to_batches()
-    if held is not None and twin:
-        yield from held.combine_chunks().to_batches()
-
-
-def _full(keyed: DataFrame, nodes: DataFrame, prints: list[str], name: str) -> DataFrame:
-    """The members of signatures that aren't alone, with their fingerprints, sorted by signature."""
-    # First the signatures alone, for most have one member; then the fingerprints of the rest.
-    shared = written(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, word long, node long"), name)
-    return shared.join(nodes, "node").select("sig", "word", "node", *prints).repartition("sig").sortWithinPartitions("sig")
-
-
-def banded_links(nodes: DataFrame, wide: int, wide_bits: int) -> DataFrame:
-    """``nodes`` has ``node``, ``bands`` (of equal ones in one place, two nodes are candidates) and fp0, fp1, ... (``wide``) to verify; returns links ``a``, ``b``."""
-    prints = [f"fp{i}" for i in range(wide)]
-    each = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    keyed = each.select(F.xxhash64("band", "key").alias("sig"), F.lit(-1).cast("long").alias("word"), "node")
-    swept = _full(keyed, nodes, prints, "shared").mapInArrow(_sweep(wide, 0, 0, wide_bits, True), "a long, b long, sig long, word int")
-    return written(swept, "swept").select("a", "b")
-
-
-def links(nodes: DataFrame, bits: int, words: int = 1, wide: int = 0, wide_bits: int = 0) -> DataFrame:
-    """``nodes`` has ``node`` and fp0, fp1, ... (``words`` to find candidates by, then ``wide`` to verify them), each combination once;
-    returns links ``a``, ``b`` that keep the components."""
+def links(nodes: DataFrame, bits: int) -> DataFrame:
+    """``nodes`` has ``node``: fingerprints as signed longs, each once; returns links ``a``, ``b`` that keep the components."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments find fingerprints of at most three differing bits")
-    prints, found = [f"fp{i}" for i in range(words + wide)], []
-    members = nodes.select("node", *prints[:words], F.explode(F.array(*map(F.lit, range(words)))).alias("word"), F.lit(None).cast("long").alias("sig"))
+    found, members = [], nodes.select("node", F.lit(None).cast("long").alias("sig"))
     for cut in range(len(CUTS)):
-        keyed = _signed(members, prints[:words], cut)
-        full = _full(keyed, nodes, prints, f"shared{cut}")
-        swept = full.mapInArrow(_sweep(words + wide, bits, words, wide_bits, wide > 0 or cut == len(CUTS) - 1), "a long, b long, sig long, word int")
-        swept = written(swept, f"swept{cut}")
+        sorted_ = _signed(members, cut).repartition("sig").sortWithinPartitions("sig", "node")
+        swept = written(sorted_.mapInArrow(_sweep(bits, cut == len(CUTS) - 1), "a long, b long, sig long"), f"swept{cut}")
         found.append(swept.where("sig is null").select("a", "b"))
-        large = swept.where("sig is not null").select(F.col("a").alias("node"), "word", "sig")
-        if large.isEmpty():
+        members = swept.where("sig is not null").select(F.col("a").alias("node"), "sig")
+        if members.isEmpty():
             break
-        members = large.join(nodes, "node").select("node", *prints[:words], "word", "sig")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
-def _grouped(rows: DataFrame, prints: list[str], bits: int, wide_bits: int = 0) -> DataFrame:
-    """``rows`` has doc_id and the fingerprints, and bands if the fingerprints only verify; adds component_id."""
-    node = F.col("fp0") if len(prints) == 1 else F.xxhash64(*prints)
-    rows = rows.withColumn("node", node)
-    if "bands" in rows.columns:
-        nodes = written(rows.groupBy("node", *prints).agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")), "nodes")
-        linked = banded_links(nodes, len(prints), wide_bits)
-    else:
-        nodes = rows.groupBy("node", *prints).agg(F.min("doc_id").alias("least"))
-        linked = links(nodes.select("node", *prints), bits)
-    root = components.roots(linked)
-    rooted = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.join(named, "node").drop("node")
-
-
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 3, bits: int = 2) -> DataFrame:
     """One row per row of ``df``: doc_id, fp0 (of its k-word shingles), component_id (the smallest id of its component)."""
-    return _grouped(written(fingerprints(df, text, key, k), "fingerprints"), ["fp0"], bits)
-
-
-#: Near copies: words in a shingle, 64-bit parts of the sketch that verifies, bands and the least hashes in each.
-NEAR_SHINGLE, NEAR_PARTS, NEAR_BANDS, NEAR_ROWS = 5, 16, 20, 4
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, NEAR_BANDS * NEAR_ROWS), np.uint64) | np.uint64(1)
-
-
-def _bands(h: np.ndarray) -> list[int]:
-    """A hash for each band of the set with these hashes."""
-    least = np.full(NEAR_BANDS * NEAR_ROWS, (1 << 64) - 1, np.uint64)
-    for s in range(0, len(h), 1 << 12):
-        each = (h[None, s : s + (1 << 12)] ^ _MIX[0][:, None]) * _MIX[1][:, None]
-        least = np.minimum(least, each.min(axis=1))
-    return [xxhash.xxh64_intdigest(r.tobytes(), SEED) - (1 << 63) for r in least.reshape(NEAR_BANDS, NEAR_ROWS)]
-
-
-def sketched(text: bytes, k: int = NEAR_SHINGLE, parts: int = NEAR_PARTS) -> tuple[list[int], list[int]]:
-    """The sketch and the bands of the set of shingles. A shingle is hashed once; further hashes are mixed from it."""
-    items, out = set(shingles(text, k)), []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(SEED)), np.uint64, len(items))
-    bands = _bands(h)
-    for _ in range(parts):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        out.append(_majority_of(h))
-    return out, bands
-
-
-def near_limit(similarity: float, parts: int = NEAR_PARTS) -> int:
-    """Differing bits of the sketch at which two sets of that Jaccard similarity lie: the angle between them, of cosine 2 s / (1 + s)."""
-    return int(64 * parts * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
-    """One row per row of ``df``: doc_id, stamp (hash of its sketch), component_id: the smallest id among its near copies."""
-    rows = document(df, text, key)
-    rows = rows.select("doc_id", rows.text.cast("binary").alias("text"))
-    prints = [f"fp{i}" for i in range(NEAR_PARTS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            made, bands = zip(*(sketched(x) for x in batch.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*made, strict=True)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", *prints, "bands"])
-
-    found = written(rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{p} long" for p in prints), "bands array<long>"])), "sketches")
-    return _grouped(found, prints, 0, near_limit(similarity)).select("doc_id", "component_id")
+    rows = written(fingerprints(df, text, key, k), "fingerprints")
+    nodes = written(rows.groupBy(F.col("fp0").alias("node")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    rooted = nodes.join(components.roots(links(nodes, bits)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).where("n > 1").select("root", "component_id")
+    named = written(rooted.join(several, "root").select("node", "component_id"), "named")
+    found = rows.join(sent(named, BROADCAST), rows["fp0"] == named["node"], "left")
+    return found.select("doc_id", "fp0", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def hex_of(fingerprint: str) -> F.Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
-
-
-def survivors(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df``, with all their columns, of which one of each group of near copies stays: the one with the smallest id.
-
-    Rows whose id is null stay if their group has no id. An id that several rows share goes if any of them goes."""
-    grouped = near_groups(df, text, key, similarity)
-    gone = grouped.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    keys = gone.select(F.col("doc_id").alias("__gone"))
-    return df.join(keys, df[f"`{key}`"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
