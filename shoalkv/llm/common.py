@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,35 @@ def sent(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Settings of inner joins of texts with more keys than are sent: a bloom filter of the keys, of 64 MB at most, goes before the shuffle.
+FILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "64000000",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "8000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "536870912",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "134217728",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Spark's settings while the block runs."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def filtered_joins(spark: SparkSession):
+    return settings(spark, FILTER)
+
+
 def document(df: DataFrame, text: str, key: str) -> DataFrame:
     """Columns ``key`` (long) and ``text`` (string, null as empty) alone, whatever else ``df`` holds."""
     return df.select(

@@ -27,13 +27,12 @@ one ``state`` folder must follow one another and have the same columns.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, scratch, sent, written
+from .common import SPACE, filtered_joins, scratch, sent, settings, written
 
 #: Files of the store in one micro-batch.
 FILES_PER_BATCH = 1000
@@ -50,29 +49,6 @@ STATE = {
 #: Rows of hits, some 250 bytes each, that are sent to every scan; more are joined.
 BROADCAST = 100_000
 
-#: Settings of the join with more hits than that: a bloom filter of their digests, of 64 MB at most, goes before the shuffle.
-FILTER = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "64000000",
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "8000000",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "536870912",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": "134217728",
-}
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
 
 def normalised(text: Column) -> Column:
     """Each run of white space as one space; null as empty. Single spaces don't match, which saves most of the work."""
@@ -133,7 +109,7 @@ def _states(store: Store, folder: str, files: int) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:  # a repeated batch writes over its own folder
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
-    with _settings(spark, STATE):
+    with settings(spark, STATE):
         query = changed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
         query.awaitTermination()
     schema = T.StructType([*changed.schema.fields, T.StructField("batch", T.IntegerType())])
@@ -149,7 +125,7 @@ def _grouped(df: DataFrame, text: str, key: str, files: int, digest_bytes: int,
     if state:  # of all hits so far, those of this call
         hits = hits.join(store.own().select("digest"), "digest", "left_semi")
     hits = written(hits, "hits")
-    with _settings(spark, FILTER):
+    with filtered_joins(spark):
         texts = store.rows().select("digest", store.body.alias("body"), "doc_id", "file", "at").join(sent(hits, BROADCAST), "digest")
         same = written(texts.groupBy("digest", "body").agg(_first(), F.count(F.lit(1)).alias("n")), "same")
     several = written(same.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "several")

@@ -1,22 +1,26 @@
 """Operator 6: substring dedup by relative Lempel-Ziv parsing.
 
-Every document is parsed against all reference text with smaller ids. Reference blocks are
-cut where the content says so: of each window of 50 words the k-gram with the least hash is its
-anchor, and consecutive windows with one anchor make up a block (50 to 50 + SPAN - 1 words). Equal
-text is cut alike wherever it stands, so parsing a document against every indexed block is an
-equality on (anchor, block hash), and the greedy factors are the longest runs of blocks that some
-smaller document holds. A factor's inner blocks match whole. At its two boundaries the
-text diverges within a block: such a block shares its anchor with another that differs, and only
-there the windows themselves are checked, one hash each. A factor of 50 words or more is thus found to the
-word; the words of its windows are the duplicate span.
+Every document is parsed greedily into factors (first word, words, source document, place in it) against all documents
+with smaller ids, and literals between them. Reference blocks are cut where the content says so: of each window of 50 words the k-gram with
+the least hash is its anchor, and consecutive windows with one anchor make up a block (50 to 50 + SPAN - 1 words). The index has each
+distinct block once, with the first document that holds it and its place there. Equal text is cut alike wherever it stands, so an equality
+join of a document's blocks with the index gives its inner matches, block by block.
+
+At the two boundaries of a match the text diverges within a block: such a block shares its anchor with another that differs, and only
+there the windows themselves are looked up, one by one, which extends the match to its last word. Blocks and windows that continue each
+other in one source are chained into runs, the longest matches with that source. The parse goes from left to right: of the runs that reach over a
+place it takes the one that ends last as the next factor. Runs of 50 words or more (there are no shorter ones) are the duplicate
+spans, and the words in factors are exactly the words in spans.
 
 Only the first document of each distinct block enters the check at the boundaries (for all
 others the block as a whole has matched), so thousands of copies cost what one does, and no
-pairs of documents are formed. Hashes have 128 bits. Aggregations combine before the shuffle;
-the joins are inner or left equality joins that AQE can split.
+pairs of documents are formed. Blocks and windows are compared by 128 bits, of which either half comes from a
+word hash of its own. Aggregations combine before the shuffle; the joins are inner or left equality joins that AQE can split. Texts
+stay in their scans as long as what is to be sent to them has at most ``SENT`` entries, and are joined beyond that.
 
 Defined cases: null text has no words; a row with a null id is kept whole and is no reference;
-rows with one id don't remove each other's words; repeated rows give repeated results; an
+rows with one id don't remove each other's words (a source is named by its id, so of texts that share one the factor may stand in any);
+repeated rows give repeated results; very long texts are cut in pieces of ``PIECE`` words, whose edges count as boundaries; an
 empty table gives no rows; further columns are passed over.
 """
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from heapq import heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,27 +36,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document, slices, written
+from .common import document, filtered_joins, slices, written
 
 WINDOW = 50
 GRAM = 16
 #: Windows one anchor can serve.
 SPAN = WINDOW - GRAM + 1
 
-_P1, _P2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03  # odd: they have inverses modulo 2**64
-_Q1, _Q2 = pow(_P1, -1, 1 << 64), pow(_P2, -1, 1 << 64)
+#: Words of a text that are hashed at once.
+PIECE = 1 << 19
+#: Entries (eight bytes each, and as many rows) that are sent to every scan of the texts.
+SENT = 1_000_000
+
+#: Odd: they have inverses modulo 2**64.
+_POWERS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_INVERSES = tuple(pow(p, -1, 1 << 64) for p in _POWERS)
 _PLACE = 24
 _CHUNK = 1 << 22
 MEMO = 300_000
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > MEMO:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_128_digest(word)
         return h
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Two hashes a word."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+
 
 class Hashed:
     """Word hashes of a run of words, with the hashes of any of its stretches."""
@@ -60,12 +75,12 @@ class Hashed:
         n = len(x)
         self.n = n
         self._sums, self._back = [], []
-        for p, q in ((_P1, _Q1), (_P2, _Q2)):
+        for which, (p, q) in enumerate(zip(_POWERS, _INVERSES, strict=True)):
             up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
             up[1:] = np.cumprod(np.full(n, p, np.uint64))
             down[1:] = np.cumprod(np.full(n, q, np.uint64))
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(x * up[:-1], out=sums[1:])
+            np.cumsum(x[:, which] * up[:-1], out=sums[1:])
             self._sums.append(sums)
             self._back.append(down)
 
@@ -106,12 +121,27 @@ def _blocks(hashed: Hashed, valid: np.ndarray, at: int) -> tuple[np.ndarray, ...
     return grams[anchor[new]], hashed.of(first, count + WINDOW - 1, 0), hashed.of(first, count + WINDOW - 1, 1), first, count
 
 
-def _joined(texts: list[bytes], memo: _Hashes) -> tuple[Hashed, np.ndarray, np.ndarray]:
-    """All words of the texts as one run, its offsets by text, and which windows lie within one text."""
-    cut = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Row, place of the first word, and words, of some pieces at a time: texts, or parts of long ones that overlap by a window less a word."""
+    some, size = [], 0
+    for row, text in enumerate(texts):
+        words = text.split()
+        for s in range(0, max(1, len(words) - WINDOW + 1), PIECE):
+            part = words[s : s + PIECE + WINDOW - 1] if len(words) > PIECE else words
+            some.append((row, s, part))
+            size += len(part)
+            if size >= PIECE:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def _joined(pieces: list[tuple[int, int, list[bytes]]], memo: _Hashes) -> tuple[Hashed, np.ndarray, np.ndarray]:
+    """All words of the pieces as one run, its offsets by piece, and which windows lie within one piece."""
+    sizes = np.fromiter((len(w) for _, _, w in pieces), np.int64, len(pieces))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    x = np.fromiter((h for words in cut for h in map(memo.__getitem__, words)), np.uint64, int(offsets[-1]))
+    x = np.concatenate([memo.of(w) for _, _, w in pieces])
     valid = np.zeros(max(0, len(x) - WINDOW + 1), bool)
     for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if e - s >= WINDOW:
@@ -126,73 +156,109 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Hashes()
     for batch in slices(batches):
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        hashed, offsets, valid = _joined(texts, memo)
-        anchor, b1, b2, first, count = blocks(hashed, valid)
-        row = np.searchsorted(offsets, first, side="right") - 1
-        stamps = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays(
-            [_signed(ids[row]), _signed(stamps[row]), _signed(anchor), _signed(b1), _signed(b2), pa.array((first - offsets[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-            names=["doc_id", "stamp", "anchor", "b1", "b2", "first", "count"],
-        )
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+        stamps = batch.column(1).to_numpy()
+        for pieces in _pieces(texts):
+            hashed, offsets, valid = _joined(pieces, memo)
+            anchor, b1, b2, first, count = blocks(hashed, valid)
+            piece = np.searchsorted(offsets, first, side="right") - 1
+            row, base = (np.array([p[i] for p in pieces], np.int64)[piece] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(ids[row]), _signed(stamps[row]), _signed(anchor), _signed(b1), _signed(b2), pa.array((first - offsets[piece] + base).astype(np.int32)), pa.array(count.astype(np.int32))],
+                names=["doc_id", "stamp", "anchor", "b1", "b2", "first", "count"],
+            )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the ranges that a row names."""
+    """A row for each window of the blocks that a row names."""
     memo = _Hashes()
     for batch in slices(batches, 1 << 20):
-        ids, stamps, texts, ranges = (batch.column(i) for i in range(4))
-        hashed, offsets, _ = _joined(texts.to_pylist(), memo)
-        row, first, count = [], [], []
-        for i, own in enumerate(ranges.to_pylist()):
-            for r in own:
-                row.append(i)
-                first.append(r["first"])
-                count.append(r["count"])
-        count = np.array(count, np.int64)
-        row = np.repeat(np.array(row, np.int64), count)
-        starts = np.repeat(np.array(first, np.int64) - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        at = starts + offsets[row]
-        for s in range(0, len(at), 1 << 17):
-            e = slice(s, s + (1 << 17))
-            yield pa.RecordBatch.from_arrays(
-                [_signed(ids.to_numpy(zero_copy_only=False)[row[e]]), _signed(stamps.to_numpy(zero_copy_only=False)[row[e]]), pa.array(starts[e].astype(np.int32)), _signed(hashed.of(at[e], WINDOW, 0)), _signed(hashed.of(at[e], WINDOW, 1))],
-                names=["doc_id", "stamp", "first", "w1", "w2"],
-            )
+        ids, stamps, texts, open_ = (batch.column(i) for i in range(4))
+        ids, stamps, own = ids.to_numpy(zero_copy_only=False), stamps.to_numpy(), [np.array(x, np.int64) for x in open_.to_pylist()]
+        for pieces in _pieces(texts.to_pylist()):
+            hashed, offsets, _ = _joined(pieces, memo)
+            for (row, base, words), offset in zip(pieces, offsets.tolist(), strict=False):
+                first, count = own[row] >> 8, own[row] & 255
+                starts = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                starts = starts[(starts >= base) & (starts < base + min(PIECE, len(words) - WINDOW + 1))]
+                at = starts - base + offset
+                for s in range(0, len(at), 1 << 17):
+                    e, n = slice(s, s + (1 << 17)), len(at[s : s + (1 << 17)])
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(np.full(n, ids[row])), _signed(np.full(n, stamps[row])), pa.array(starts[e].astype(np.int32)), _signed(hashed.of(at[e], WINDOW, 0)), _signed(hashed.of(at[e], WINDOW, 1))],
+                        names=["doc_id", "stamp", "first", "w1", "w2"],
+                    )
+
+
+def parse(units: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """``units``: (first window, windows, source, place in it) of matches. The factors (first word, words, source, place), from left to right."""
+    runs: dict[tuple[int, int], list[list[int]]] = {}  # by source and shift, [first word, end]
+    for first, count, source, at in sorted(units):
+        own, end = runs.setdefault((source, at - first), []), first + count + WINDOW - 1
+        if own and first <= own[-1][1] - WINDOW + 1:  # the next window, or one met before
+            own[-1][1] = max(own[-1][1], end)
+        else:
+            own.append([first, end])
+    ordered = sorted((first, -end, source, shift) for (source, shift), own in runs.items() for first, end in own)
+    out, place, k, open_ = [], 0, 0, []  # open_: runs that have begun, by where they end
+    while k < len(ordered) or open_:
+        if not open_:
+            place = max(place, ordered[k][0])
+        while k < len(ordered) and ordered[k][0] <= place:
+            heappush(open_, (ordered[k][1], ordered[k][2], ordered[k][3]))
+            k += 1
+        if not open_:
+            continue
+        back, source, shift = open_[0]
+        if -back <= place:  # all that have begun have ended
+            open_.clear()
+            continue
+        out.append((place, -back - place, source, place + shift))
+        place = -back
+    return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
+    for batch in batches:
+        made = []
+        for blocks_, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            units = [(u["first"], u["count"], u["owner"], u["at"]) for u in [*(blocks_ or []), *(ends or [])]]
+            made.append([dict(zip(("first", "words", "source", "at"), f, strict=True)) for f in parse(units)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind)], names=["doc_id", "stamp", "factors"])
 
 
 def _stamped(df: DataFrame, text: str, key: str) -> DataFrame:
     rows = document(df, text, key)
-    return rows.select("doc_id", rows.text.cast("binary").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("stamp"), rows.text.cast("binary").alias("text"))
 
 
-def _stamp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        stamps = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _signed(stamps), batch.column(1)], names=["doc_id", "stamp", "text"])
+def _sent(table: DataFrame, entries: str) -> DataFrame:
+    """A written table, marked to be sent to the scans of the texts if it is small."""
+    rows, all_ = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()
+    return F.broadcast(table) if rows + all_ <= SENT else table
 
 
-def spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document that has any: doc_id, stamp (hash of its text) and ``spans``: array of (first, count), windows found in smaller documents."""
+def factors(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document that has any: doc_id, stamp (a hash of its text) and ``factors``: array of (first, words, source, at), in order; what lies between is literal."""
     docs = _stamped(df, text, key).where("doc_id is not null")
     ranges = written(docs.mapInArrow(_cut, "doc_id long, stamp long, anchor long, b1 long, b2 long, first int, count int"), "ranges")
-    index = ranges.groupBy("anchor", "b1", "b2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    index = ranges.groupBy("anchor", "b1", "b2").agg(F.min("doc_id").alias("owner"), F.min_by("first", "doc_id").alias("at"), F.max("doc_id").alias("last"))
     forked = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("forked"))
-    useful = index.join(forked, "anchor", "left").where("last > owner or forked").select("anchor", "b1", "b2", "owner", F.coalesce("forked", F.lit(False)).alias("forked"))
-    parsed = ranges.join(useful, ["anchor", "b1", "b2"]).select("doc_id", "stamp", "first", "count", (F.col("doc_id") > F.col("owner")).alias("whole"), "forked").where("whole or forked")
-    listed = parsed.groupBy("doc_id", "stamp").agg(
-        F.collect_list(F.when(F.col("whole"), F.struct("first", "count"))).alias("whole"),
-        F.collect_list(F.when(~F.col("whole"), F.struct("first", "count"))).alias("open"),
+    useful = index.join(forked, "anchor", "left").where("last > owner or forked").select("anchor", "b1", "b2", "owner", "at", F.coalesce("forked", F.lit(False)).alias("forked"))
+    matched = ranges.join(useful, ["anchor", "b1", "b2"]).select("doc_id", "stamp", "first", "count", "owner", "at", (F.col("doc_id") > F.col("owner")).alias("whole"), "forked").where("whole or forked")
+    listed = matched.groupBy("doc_id", "stamp").agg(
+        F.collect_list(F.when(F.col("whole"), F.struct("first", "count", "owner", "at"))).alias("whole"),
+        F.collect_list(F.when(~F.col("whole"), F.shiftleft(F.col("first").cast("long"), 8) + F.col("count"))).alias("open"),
     )
-    listed = written(listed, "parsed")
-    texts = docs.mapInArrow(_stamp, "doc_id long, stamp long, text binary").join(listed.where(F.size("open") > 0).select("doc_id", "stamp", "open"), ["doc_id", "stamp"])
-    windows = written(texts.select("doc_id", "stamp", "text", "open").mapInArrow(_windows, "doc_id long, stamp long, first int, w1 long, w2 long"), "windows")
-    shared = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("w1", "w2", "owner")
-    at_ends = windows.join(shared, ["w1", "w2"]).where("doc_id > owner").groupBy("doc_id", "stamp").agg(F.collect_set("first").alias("ends"))
-    none = F.array().cast("array<struct<first:int,count:int>>")
-    both = listed.join(at_ends, ["doc_id", "stamp"], "left")
-    one = F.transform(F.coalesce("ends", F.array().cast("array<int>")), lambda i: F.struct(i.alias("first"), F.lit(1).alias("count")))
-    return both.select("doc_id", "stamp", F.concat(F.coalesce("whole", none), one).alias("spans")).where(F.size("spans") > 0)
+    listed = written(listed, "listed")
+    with filtered_joins(df.sparkSession):
+        texts = docs.join(_sent(listed.where(F.size("open") > 0).select("doc_id", "stamp", "open"), "open"), ["doc_id", "stamp"]).select("doc_id", "stamp", "text", "open")
+        windows = written(texts.mapInArrow(_windows, "doc_id long, stamp long, first int, w1 long, w2 long"), "windows")
+    shared = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.min_by("first", "doc_id").alias("at"), F.max("doc_id").alias("last")).where("last > owner").select("w1", "w2", "owner", "at")
+    ends = windows.join(shared, ["w1", "w2"]).where("doc_id > owner").groupBy("doc_id", "stamp").agg(F.collect_list(F.struct("first", F.lit(1).alias("count"), "owner", "at")).alias("ends"))
+    units = listed.join(ends, ["doc_id", "stamp"], "left").where(F.col("ends").isNotNull() | (F.size("whole") > 0)).select("doc_id", "stamp", "whole", "ends")
+    return units.mapInArrow(_parsed, "doc_id long, stamp long, factors array<struct<first:int,words:int,source:long,at:int>>")
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +269,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = data.split()
             n_words.append(len(words))
             if own:
-                edge = np.zeros(len(words) + 1, np.int64)
-                for r in own:
-                    edge[r["first"]] += 1
-                    edge[r["first"] + r["count"] + WINDOW - 1] -= 1
-                stay = np.cumsum(edge[:-1]) == 0
-                words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+                left, place = [], 0
+                for f in own:  # in order, and apart
+                    left += words[place : f >> 32]
+                    place = (f >> 32) + (f & 0xFFFFFFFF)
+                words = left + words[place:]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
@@ -216,8 +281,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``df``: doc_id, n_words, n_removed, ``kept`` (binary: the words that stay, joined by one space)."""
-    rows = _stamped(df, text, key).mapInArrow(_stamp, "doc_id long, stamp long, text binary")
-    return rows.join(spans(df, text, key), ["doc_id", "stamp"], "left").select("doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary")
+    packed = F.transform("factors", lambda f: F.shiftleft(f["first"].cast("long"), 32) + f["words"])
+    gone = _sent(written(factors(df, text, key).select("doc_id", "stamp", packed.alias("gone")), "factors"), "gone")
+    rows = _stamped(df, text, key).join(gone, ["doc_id", "stamp"], "left").select("doc_id", "text", "gone")
+    return rows.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def digest(kept: bytes) -> str:

@@ -346,12 +346,45 @@ def substring_brute(rows):
     return sorted(out, key=str)
 
 
-def test_substrings(docs, rows, empty):
+@pytest.mark.parametrize("sent,piece", [(1_000_000, 1 << 19), (0, 60)])
+def test_substrings(docs, rows, empty, monkeypatch, sent, piece):
+    """Texts sent to or joined, and cut into pieces or not."""
+    monkeypatch.setattr(substrings, "SENT", sent)
+    monkeypatch.setattr(substrings, "PIECE", piece)
     got = keyed(substrings.removed(docs).withColumn("sha", F.sha2("kept", 256)), "doc_id", "n_words", "n_removed", "sha")
     assert got == substring_brute(rows) and sum(g[2] for g in got) > 500
     assert substrings.removed(empty).count() == 0
 
 
+def test_factors_cover_the_documents_and_equal_their_sources(spark, rows):
+    """Literals and factors make up each document; a factor stands in its source, whose id is smaller, word for word."""
+    own = [r for r in {r[0]: r for r in rows if r[0] is not None}.values()]
+    own += [(500 + i, " ".join((own[i][1] or "").split(" ")[10:] + (own[i + 1][1] or "").split(" ")), "en", "s", 0) for i in range(20)]
+    text = {r[0]: words(r[1]) for r in own}
+    found = {r.doc_id: r.factors for r in substrings.factors(spark.createDataFrame(own, SCHEMA).repartition(3)).collect()}
+    assert len(found) > 30 and sum(len(f) for f in found.values()) > len(found)
+    for i, parts in found.items():
+        rebuilt, place = [], 0
+        for f in parts:
+            assert f.first >= place and f.words > 0 and f.source < i
+            rebuilt += text[i][place : f.first] + text[f.source][f.at : f.at + f.words]
+            place = f.first + f.words
+        assert rebuilt + text[i][place:] == text[i]
+
+
+def test_the_parse_is_greedy():
+    units = [(0, 11, 7, 100), (11, 5, 7, 111), (5, 40, 3, 0), (90, 1, 7, 190), (90, 1, 2, 0), (92, 1, 2, 2), (200, 1, 1, 5)]
+    # Source 7 reaches from 0 to 65 and source 3 from 5 to 94; from there 2 goes on (its window at 91 is missing) to 140 and to 142.
+    assert substrings.parse(units) == [(0, 65, 7, 100), (65, 29, 3, 60), (94, 48, 2, 4), (200, 50, 1, 5)]
+    rng = random.Random(2)
+    for _ in range(300):
+        units = [(rng.randrange(120), rng.randint(1, 35), rng.randrange(3), rng.randrange(60)) for _ in range(rng.randint(0, 9))]
+        covered = {w for first, count, *_ in units for w in range(first, first + count + 49)}
+        got = substrings.parse(units)
+        assert sum(f[1] for f in got) == len(covered) and {w for f in got for w in range(f[0], f[0] + f[1])} == covered
+        assert all(any(f[2] == u[2] and f[3] - f[0] == u[3] - u[0] and u[0] <= f[0] < u[0] + u[1] + 49 for u in units) for f in got)
+
+
 def test_substrings_of_repetitive_texts(spark):
     """Few different words, so anchors tie and passages overlap in every way."""
     rng = random.Random(9)
@@ -364,7 +397,7 @@ def test_substrings_of_repetitive_texts(spark):
 
 def test_blocks_at_the_edges_of_chunks(monkeypatch):
     x = np.random.default_rng(1).integers(0, 3, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    hashed, valid = substrings.Hashed(x), np.ones(1951, bool)
+    hashed, valid = substrings.Hashed(np.stack([x, ~x], axis=1)), np.ones(1951, bool)
     monkeypatch.setattr(substrings, "_CHUNK", 100)
     _, _, _, first, count = substrings.blocks(hashed, valid)
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == 1951
