@@ -259,14 +259,21 @@ def license_brute(text):
     own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     at = lambda p: [j for j in range(len(own)) if own[j : j + len(p.split())] == p.split()]
     starts = [j for p in licenses.BASE for j in at(p)]
-    base = {label for p, label in licenses.BASE.items() if at(p)}
+    base = {label for p, (label, _) in licenses.BASE.items() if at(p)}
     more = {label for label, p, _ in licenses.TEMPLATES if at(p)}
-    return len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more))
-
-
-def test_licences(docs, rows, empty):
-    got = licenses.scan(docs).cache()
-    assert keyed(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels") == sorted(((r[0], *license_brute(r[1])) for r in rows), key=str)
+    score = 0.0
+    for t in licenses.ALL:
+        for j in at(" ".join(t.key)):
+            begin = j - t.key_at
+            score = max(score, sum(0 <= begin + k < len(own) and own[begin + k] == w for k, w in enumerate(t.words)) / len(t.words))
+    return len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), round(score, 9)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_licences(docs, rows, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(licenses, "BROADCAST", broadcast)
+    got = licenses.scan(docs).withColumn("score", F.round("score", 9)).cache()
+    assert keyed(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == sorted(((r[0], *license_brute(r[1])) for r in rows), key=str)
     scores = {r.doc_id: r.score for r in got.collect()}
     assert 0 < scores[404] <= 1 and scores[401] == 0 and licenses.scan(empty).count() == 0
 
@@ -275,11 +282,14 @@ def test_a_line_of_each_template_is_found(spark):
     lines = [(i, f"x {line.upper()}, y", "en", "s", 0) for i, (_, _, line) in enumerate(licenses.TEMPLATES)]
     lines += [(100 + i, " ".join(reversed(line.split())), "en", "s", 0) for i, (_, _, line) in enumerate(licenses.TEMPLATES)]
     lines.append((200, "MİT Key apache licenſe version 2", "en", "s", 0))
+    lines.append((201, "under the mit license " * 3000, "en", "s", 0))
+    lines.append((202, licenses.MIT.replace("as is", "as it is"), "en", "s", 0))
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(lines, SCHEMA)).collect()}
     for i, (label, _, _) in enumerate(licenses.TEMPLATES):
         assert label in got[i].labels.split(",") and got[i].score == 1.0
-        assert got[100 + i].labels == ""
-    assert got[200].labels == ""
+        assert label not in got[100 + i].labels.split(",")
+    assert got[200].labels == "" and (got[201].n_base, got[201].last_word, got[201].score) == (3000, 11996, 0.8)
+    assert got[202].labels == "mit" and 0.5 < got[202].score < 1
 
 
 # 5: quality.
