@@ -14,8 +14,8 @@ more than ``LANGUAGES`` learned languages raise ``ValueError``.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is any
 text if nothing was learned; ties in distance go to the first language by name; a null
-id counts as the empty text in the fold; repeated rows give repeated results; an
-empty table gives no rows; further columns are passed over.
+id counts as the empty text in the fold; repeated rows give repeated results; very long texts are counted
+in pieces of ``PIECE`` characters, cut at white space; an empty table gives no rows; further columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -36,8 +36,23 @@ SIZE = 400
 LANGUAGES = 1000
 #: N-grams a worker holds before it sums them.
 HELD = 2_000_000
+#: Characters of a text that are counted at once, or more if there is no white space among them.
+PIECE = 1 << 18
 
 _BETWEEN = re.compile(r"[\W\d_]+")
+_SPACE = re.compile(r"\s")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text, cut at white space (which no rule of upper and lower case looks beyond)."""
+    at = 0
+    while len(text) - at > PIECE:
+        found = _SPACE.search(text, at + PIECE)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.end()
+    yield text[at:] if at else text
 
 
 def spaced(text: str) -> str:
@@ -66,6 +81,16 @@ def counted(spaced_text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams_of(spaced_text), return_counts=True)
 
 
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a text of any length."""
+    if len(text) <= PIECE:
+        return counted(spaced(text))
+    total: list[tuple[np.ndarray, np.ndarray]] = []
+    for piece in pieces(text):
+        total = [_summed([*total, counted(spaced(piece))])]
+    return total[0]
+
+
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The most frequent of ascending n-grams in order: by count, then by n-gram."""
     return grams[np.argsort(-counts, kind="stable")[:size]]
@@ -90,7 +115,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             texts[lang].append(text)
         for lang, own in texts.items():
-            held[lang].append(counted(spaced(" ".join(own))))
+            held[lang].append(counts_of(" ".join(own)))
         if sum(len(g) for parts in held.values() for g, _ in parts) > HELD:
             for lang, parts in held.items():
                 held[lang] = [_summed(parts)]
@@ -142,7 +167,7 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in slices(batches):
-            made = [table.nearest(ranked(*counted(spaced(x)), size)) for x in batch.column(2).to_pylist()]
+            made = [table.nearest(ranked(*counts_of(x), size)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -152,3 +177,26 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     """Learn from the rows whose fold isn't ``test``; predict all rows."""
     held = fold(df[f"`{key}`"].cast("long"), folds) == test
     return predict(df, train(df.where(~held), text, lang), text, key, SIZE, folds, test)
+
+
+def identify_sql(size: int = SIZE, folds: int = 3, test: int = 1) -> str:
+    """The query's result in SQL: n-grams as text, whose order is that of the integers."""
+    step = "lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295, own), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), {step})), 4294967295)"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, lang, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS own FROM documents
+), h AS (SELECT rid, doc_id, lang, lower(coalesce(text, '')) AS text, text IS NULL AS no_text, {crc} % {folds} = {test} AS held_out FROM d),
+w AS (SELECT rid, ' ' || unnest(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{Nl}}\p{{No}}]+'), lambda x: regexp_matches(x, '\p{{L}}'))) || ' ' AS word FROM h),
+v AS (SELECT word, count(*) AS n, rid FROM w GROUP BY rid, word),
+g AS (SELECT rid, n, unnest(list_concat(list_transform(range(2, length(word)), lambda i: substr(word, i, 1)), list_transform(range(1, length(word)), lambda i: substr(word, i, 2)), list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)))) AS gram FROM v),
+c AS (SELECT rid, gram, sum(n) AS n FROM g GROUP BY ALL),
+r AS (SELECT * FROM (SELECT rid, gram, row_number() OVER (PARTITION BY rid ORDER BY n DESC, gram) - 1 AS rank FROM c) WHERE rank < {size}),
+t AS (SELECT lang, gram, sum(n) AS n FROM c JOIN h USING (rid) WHERE NOT held_out AND lang IS NOT NULL AND NOT no_text GROUP BY ALL),
+p AS (SELECT * FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS place FROM t) WHERE place < {size}),
+k AS (SELECT rid, count(*) AS n FROM r GROUP BY rid),
+m AS (SELECT rid, p.lang, sum(abs(place - rank)) AS apart, count(*) AS met FROM r JOIN p USING (gram) GROUP BY ALL),
+a AS (SELECT k.rid, l.lang, k.n, coalesce(m.apart, 0) + {size} * (k.n - coalesce(m.met, 0)) AS apart FROM k CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN m ON m.rid = k.rid AND m.lang = l.lang),
+b AS (SELECT rid, lang, 1.0::DOUBLE - CAST(apart AS DOUBLE) / CAST({size} * n AS DOUBLE) AS score FROM a QUALIFY row_number() OVER (PARTITION BY rid ORDER BY apart, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(b.score, 0) AS score FROM h LEFT JOIN b USING (rid)
+"""

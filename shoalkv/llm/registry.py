@@ -76,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op6_substrings": substrings.REMOVED_SQL,
     "op7_lines": lines.DEDUP_SQL,
     "op9_mixing": mixing.MIX_SQL,
+    "op10_langid": langid.identify_sql(),
 }
