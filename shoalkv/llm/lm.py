@@ -22,7 +22,7 @@ tokens (at most 1 / WORD_SHARE of them) are sent to the workers; all others are
 
 Defined cases: null text counts as empty, and is one token (the end); a null id counts as the empty text
 in the fold; an empty training set leaves every byte at 1/256 and every count at 0; repeated rows give
-repeated results; an empty table gives no rows; further columns are passed over.
+repeated results; n-grams of very long texts are made ``PART`` bytes at a time; an empty table gives no rows; further columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -51,6 +51,9 @@ PIECE = 500_000
 #: Slots of a worker's table of n-grams it has scored already; their number changes no result.
 SLOTS = 20
 
+#: Bytes of text whose n-grams are made at once.
+PART = 1 << 21
+
 _SLICE = 1 << 21
 APART = np.uint64((1 << 64) - 1)
 
@@ -61,13 +64,26 @@ def rendered(text: bytes) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + b"\n"
 
 
-def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (order + 1)-gram that ends at each byte, in texts set apart by ``order`` line feeds, and where each text begins.
+def parts(texts: list[bytes], order: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Text's number, the ``order`` bytes before, and the bytes, of some parts of texts at a time; a text begins after line feeds."""
+    some, size = [], 0
+    for row, text in enumerate(texts):
+        for s in range(0, len(text), PART):
+            some.append((row, text[s - order : s] if s else b"\n" * order, text[s : s + PART]))
+            size += len(some[-1][2])
+            if size >= PART:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def grams(some: list[tuple[int, bytes, bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (order + 1)-gram that ends at each byte of the parts, and where each part begins, with the bytes before it.
 
-    The bytes that set texts apart have the gram ``APART``, which no byte of a text has."""
-    pad = b"\n" * order
-    data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + order
+    The bytes before a part have the gram ``APART``, which no byte of a text has."""
+    data = np.frombuffer(b"".join(x for _, before, part in some for x in (before, part)), np.uint8)
+    sizes = np.fromiter((len(part) for _, _, part in some), np.int64, len(some)) + order
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     out = np.zeros(len(data), np.uint64)
     wide = data.astype(np.uint64)
@@ -96,15 +112,16 @@ def _count_grams(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + (1 << 18)].view(np.int64)), pa.array(counts[s : s + (1 << 18)])], names=["gram", "n"])
 
         for batch in slices(batches, _SLICE):
-            found, counts = np.unique(grams([rendered(x)[1] for x in batch.column(0).to_pylist()], order)[0], return_counts=True)
-            keep = found != APART
-            held.append((found[keep], counts[keep].astype(np.int64)))
-            size += len(held[-1][0])
-            if size > HELD:
-                held = [_summed(held)]
-                if (size := len(held[0][0])) > HELD // 2:
-                    yield from out()
-                    held, size = [], 0
+            for some in parts([rendered(x)[1] for x in batch.column(0).to_pylist()], order):
+                found, counts = np.unique(grams(some, order)[0], return_counts=True)
+                keep = found != APART
+                held.append((found[keep], counts[keep].astype(np.int64)))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [_summed(held)]
+                    if (size := len(held[0][0])) > HELD // 2:
+                        yield from out()
+                        held, size = [], 0
         if held:
             yield from out()
 
@@ -224,27 +241,35 @@ class Scorer:
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
         """Each text's sum over the n-grams of known cost, and the others with their numbers."""
-        keys, begins = grams(texts, self.trie.order)
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        cost = self.value[slot]
-        miss = np.flatnonzero(self.seen[slot] != keys)
-        if len(miss):
-            new, at = np.unique(keys[miss], return_inverse=True)
-            made = self.trie.cost(new)
-            cost[miss] = made[at]
-            self.seen[slot[miss]] = keys[miss]
-            self.value[slot[miss]] = cost[miss]
-        cost[keys == APART] = 0
-        lost = np.flatnonzero(np.isnan(cost))
-        cost[lost] = 0
-        row, gram = np.searchsorted(begins, lost, "right") - 1, keys[lost]
-        by = np.lexsort((gram, row))
-        row, gram = row[by], gram[by]
-        at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])) if len(row) else np.zeros(0, np.int64)
-        times = np.diff(np.append(at, len(row))).astype(np.int32)
-        offsets = np.searchsorted(row[at], np.arange(len(begins) + 1)).astype(np.int32)
-        open_ = pa.StructArray.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(times)], names=["gram", "times"])
-        return np.add.reduceat(cost, begins) if len(begins) else np.zeros(0), pa.ListArray.from_arrays(pa.array(offsets), open_)
+        total, rows, lost, times = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for some in parts(texts, self.trie.order):
+            keys, begins = grams(some, self.trie.order)
+            own = np.array([r for r, _, _ in some], np.int64)
+            slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+            cost = self.value[slot]
+            miss = np.flatnonzero(self.seen[slot] != keys)
+            if len(miss):
+                new, at = np.unique(keys[miss], return_inverse=True)
+                cost[miss] = self.trie.cost(new)[at]
+                self.seen[slot[miss]] = keys[miss]
+                self.value[slot[miss]] = cost[miss]
+            cost[keys == APART] = 0
+            gone = np.flatnonzero(np.isnan(cost))
+            cost[gone] = 0
+            np.add.at(total, own, np.add.reduceat(cost, begins))
+            for x, y in zip((rows, lost, times), _distinct(own[np.searchsorted(begins, gone, "right") - 1], keys[gone], np.ones(len(gone), np.int64)), strict=True):
+                x.append(y)
+        row, gram, n = _distinct(np.concatenate(rows), np.concatenate(lost), np.concatenate(times))  # a text's parts may share some
+        open_ = pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32))], names=["gram", "times"])
+        return total, pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), open_)
+
+
+def _distinct(row: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and their sums."""
+    by = np.lexsort((gram, row))
+    row, gram, n = row[by], gram[by], n[by]
+    at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])) if len(row) else np.zeros(0, np.int64)
+    return row[at], gram[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def _by_order(table: pa.Table, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
