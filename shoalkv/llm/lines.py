@@ -26,8 +26,8 @@ from .common import written
 
 #: A line on more than this share of a host's pages, in percent, and on so many pages at least, is boilerplate.
 RATIO, LEAST = 30, 3
-#: So many hosts' lists at most are broadcast (each some kilobytes).
-BROADCAST_HOSTS = 5000
+#: So many hosts and lines of theirs (some 100 bytes each) at most are broadcast.
+BROADCAST = 200_000
 
 UNSEEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
@@ -68,7 +68,8 @@ def dedup(df: DataFrame, url: str = "url", text: str = "html", key: str = "page_
     pages = df.select(df[f"`{key}`"].cast("long").alias("page_id"), host_of(df[f"`{url}`"]).alias("host"), lines_of(df[f"`{text}`"], html).alias("lines"))
     pages = written(pages, "lines")
     lists = written(boilerplate(pages, ratio, least), "boilerplate")
-    lists = F.broadcast(lists) if lists.count() <= BROADCAST_HOSTS else lists
+    hosts, listed = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("common")), F.lit(0))).first()
+    lists = F.broadcast(lists) if hosts + listed <= BROADCAST else lists
     stay = F.when(F.size("common") > 0, F.filter("lines", lambda x: ~F.array_contains("common", F.unhex(F.md5(x.cast("binary")))))).otherwise(F.col("lines"))
     joined = pages.join(lists, "host", "left").withColumn("stay", F.coalesce(stay, F.col("lines")))
     return joined.select(
