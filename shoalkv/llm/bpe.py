@@ -189,7 +189,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, make) ->
     """``df`` with ``target`` made from the values of ``source``, slice by slice."""
     schema = _with(df, target, kind)
     keep = [f.name for f in schema.fields[:-1]]
-    cols = [df[f"`{c}`"] for c in keep] + [df[f"`{source}`"].alias("__source")]
+    cols = [df[f"`{c}`"] for c in keep] + [df[f"`{source}`"].alias("_" * (1 + max(map(len, schema.names))))]  # a name that no column has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
@@ -222,7 +222,7 @@ def id_list(packed: str) -> F.Column:
 
 def digests(df: DataFrame, codec: Codec, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_tokens, and the SHA-256 of the packed ids and of the decoded bytes."""
-    rows = df.select(df[f"`{key}`"].alias("doc_id"), df[f"`{text}`"].alias("text"))
+    rows = df.select(df[f"`{key}`"].alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
     encoded = encode(rows, codec).select("doc_id", "ids")
     return decode(encoded, codec).select(
         "doc_id",

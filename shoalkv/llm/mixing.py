@@ -16,7 +16,8 @@ a row is its leaf's threshold, a map-side comparison.
 
 Defined cases: a null id counts as the empty text in the order; null levels are named
 ``unknown``; null text has no tokens and goes with whole epochs, or with the prefix that covers
-its place; rows with one id stand or fall together; weights of 0 select nothing; an empty table gives no rows.
+its place; rows with one id stand or fall together; weights of 0 select nothing; very long texts are counted like others; an empty table gives no
+rows; further columns, whatever their names, are passed over by ``select`` and kept by ``selected``; a level with the name of one of the plan's own columns raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ RANGE_ROWS = 20_000
 #: A plan of at most so many leaves is broadcast (some 100 bytes each); a larger one is joined.
 BROADCAST_LEAVES = 20_000
 
+#: Names that the plan's own columns have; a level can't be called so.
+RESERVED = frozenset({"doc_id", "n_tokens", "tokens", "n_rows", "capacity", "weight", "budget", "held", "left", "full", "spent", "shares", "own", "target", "passes", "rest", "ranges", "range", "order", "end", "upto", "before", "sum", "at", "epoch", "epochs", "row"})
+
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(0)).cast("long")
@@ -86,6 +90,8 @@ def _dealt(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 def allocate(supply: DataFrame, mix: Mix) -> DataFrame:
     """``supply``: a row for each leaf with its levels, ``tokens`` and ``n_rows``. Adds ``target`` (tokens)."""
     names = list(mix.levels)
+    if taken := RESERVED & set(map(str.lower, names)):
+        raise ValueError(f"levels can't be named {', '.join(sorted(taken))}")
     leaves = supply.withColumn("capacity", F.col("tokens") * mix.epochs)
     dealt: DataFrame | None = None
     for depth in range(1, len(names) + 1):

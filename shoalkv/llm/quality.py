@@ -153,7 +153,7 @@ def accepted(df: DataFrame, text: str = "text", limits: dict[int, int] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column(at).to_pylist()
-            yield batch.filter(pa.array([verdict((x or "").encode(), limits)[6] for x in texts], pa.bool_()))
+            yield batch.filter(pa.array([verdict(("" if x is None else str(x)).encode(), limits)[6] for x in texts], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -224,6 +224,18 @@ def test_ppm_is_a_distribution(spark, rows):
             assert (10 ** trie.cost(g)).sum() == pytest.approx(1.0)
 
 
+def test_ppm_of_long_repeated_and_clashing_rows(spark, rows, monkeypatch):
+    """Texts longer than a part, rows twice, and columns with the names of the result."""
+    some = [(r[0], r[1], 1, "x", -1.0) for r in rows if len(r[1] or "") > 1000][:12]
+    frame = spark.createDataFrame([*some, some[0], (None, None, None, None, None)], "doc_id long, text string, row int, gram string, score double")
+    whole = keyed(lm.evaluate(frame).withColumn("s", F.round("score", 5)), "doc_id", "n_tokens", "s")
+    monkeypatch.setattr(lm, "PART", 100)
+    monkeypatch.setattr(lm, "SHARE", 1e-2)
+    assert keyed(lm.evaluate(frame).withColumn("s", F.round("score", 5)), "doc_id", "n_tokens", "s") == whole and len(whole) == 14
+    brute = [ppm_brute([t for i, t, *_ in [*some, some[0], (None, None)] if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2], t, lm.ORDER) for _, t, *_ in some[:2]]
+    assert all(any(abs(b - w[2]) < 1e-4 for w in whole) for b in brute)
+
+
 def test_ppm_words_beyond_the_sent_table_are_counted(spark, rows, monkeypatch):
     frame = spark.createDataFrame(rows, SCHEMA)
     whole = keyed(lm.evaluate(frame).withColumn("b", F.round("base_score", 6)), "doc_id", "n_known", "b")
@@ -439,7 +451,7 @@ def test_lines(spark, monkeypatch):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string").repartition(3)
     names = ("page_id", "host", "n_pages", "n_lines", "n_dropped", "kept")
     assert keyed(lines.dedup(frame, html=False), *names) == lines_brute(rows)
-    monkeypatch.setattr(lines, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(lines, "BROADCAST", 0)
     assert keyed(lines.dedup(frame, html=False), *names) == lines_brute(rows)
     assert lines.dedup(frame.limit(0)).count() == 0
 
@@ -677,6 +689,11 @@ def test_mixing_matches_sql(spark, docs, rows, tmp_path):
     assert got == want and got
 
 
+def test_levels_with_names_of_the_plan_raise(docs):
+    with pytest.raises(ValueError, match="weight"):
+        mixing.select(docs, mixing.Mix(levels={"weight": F.col("lang")}))
+
+
 def test_ranges_change_nothing(docs, monkeypatch):
     whole = keyed(mixing.select(docs, mixing.documents_mix()), "doc_id", "epoch")
     monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
@@ -723,10 +740,23 @@ def test_languages(spark, empty):
 
 def test_the_distance_is_out_of_place():
     profiles = langid.Profiles({"a": np.array([3, 1, 2]), "b": np.array([1, 9])}, size=4)
-    assert profiles.nearest(np.array([1, 2])) == ("a", 1 - (1 + 1) / 8) or profiles.nearest(np.array([1, 2])) == ("b", 1 - (0 + 4) / 8)
+    assert profiles.nearest(np.array([1, 2])) == ("a", 1 - (1 + 1) / 8)  # b's distance is 0 + 4
+    assert profiles.nearest(np.array([9, 1])) == ("b", 1 - (1 + 1) / 8) and profiles.nearest(np.array([5, 6])) == ("a", 0.0)  # a tie goes to the first by name
     assert profiles.nearest(np.array([1]))[0] == "b" and profiles.nearest(np.array([], np.int64)) == ("und", 0.0)
 
 
+def test_languages_of_long_repeated_and_clashing_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("nopqrstuΣσ'") for _ in range(rng.randint(1, 9))) for _ in range(3000))
+    rows = [(1, long, "bb", 1, "x"), (1, long, "bb", 1, "x"), (2, "abcd klm", "aa", 2, None), (3, "Z" * 5000, None, 3, "y"), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out int, score string")
+    whole = keyed(langid.identify(frame), "doc_id", "held_out", "lang_pred", "score")
+    counts = [langid.counted(langid.spaced(t)) for _, t, *_ in rows[:4]]
+    monkeypatch.setattr(langid, "PIECE", 50)
+    assert all((x == y).all() for c, (_, t, *_) in zip(counts, rows, strict=False) for x, y in zip(c, langid.counts_of(t), strict=True))
+    assert keyed(langid.identify(frame), "doc_id", "held_out", "lang_pred", "score") == whole and whole.count(whole[0]) == 2
+
+
 def test_grams_of_words():
     rng = random.Random(1)
     for _ in range(50):
