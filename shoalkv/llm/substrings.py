@@ -32,6 +32,7 @@ from heapq import heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,13 +219,30 @@ def parse(units: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
     return out
 
 
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of two columns of lists of (first, count, owner, at): row, first, count, owner and at, with what continues in one source joined."""
+    found = []
+    for lists in (batch.column(2), batch.column(3)):
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        found.append([np.repeat(np.arange(batch.num_rows), sizes), *(pc.struct_field(lists.flatten(), [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))])
+    row, first, count, owner, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort((first, at - first, owner, row))
+    row, first, count, owner, at = (x[by] for x in (row, first, count, owner, at))
+    if not len(row):
+        return row, first, count, owner, at
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | ((at - first)[1:] != (at - first)[:-1]) | (first[1:] > (first + count)[:-1])])
+    begin = np.flatnonzero(new)
+    end = np.maximum.reduceat(first + count, begin)
+    return row[begin], first[begin], end - first[begin], owner[begin], at[begin]
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("at", pa.int32())]))
-    for batch in batches:
-        made = []
-        for blocks_, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            units = [(u["first"], u["count"], u["owner"], u["at"]) for u in [*(blocks_ or []), *(ends or [])]]
-            made.append([dict(zip(("first", "words", "source", "at"), f, strict=True)) for f in parse(units)])
+    for batch in slices(batches):
+        row, *runs = _runs(batch)
+        edges = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+        units = list(zip(*(x.tolist() for x in runs), strict=True))
+        made = [[dict(zip(("first", "words", "source", "at"), f, strict=True)) for f in parse(units[s:e])] for s, e in zip(edges, edges[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind)], names=["doc_id", "stamp", "factors"])
 
 
