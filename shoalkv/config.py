@@ -25,6 +25,8 @@ class Config:
     latency: str = "none"
     get_latency: Latency | None = None
     put_latency: Latency | None = None
+    #: Whether charged latency passes, or is only counted.
+    latency_sleeps: bool = False
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Config:
@@ -60,4 +62,5 @@ class Config:
             latency=latency,
             get_latency=fitted("GET"),
             put_latency=fitted("PUT"),
+            latency_sleeps=text("LATENCY_SLEEPS", "off").lower() in ("on", "true", "1"),
         )

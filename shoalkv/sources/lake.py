@@ -1,25 +1,25 @@
 """The lake: published Parquet files and the manifests that say which of them are live.
 
-``data/wm=<watermark>/`` holds a publish's files, sorted by key in small row groups with bloom filters
-for the key. ``manifest/<watermark>.json`` describes them and is created exclusively: that is the commit. A
-data folder without a manifest is an orphan that a retry overwrites. The published watermark is the highest
-of the manifests; nothing else stores it.
+Each attempt to publish writes a folder of its own, ``data/wm=<watermark>-<attempt>/``: files sorted by key in small row groups, with bloom filters
+for the key. ``manifest/<number>.json`` describes them; numbers are consecutive, and a manifest is created exclusively and whole: that is the commit.
+Whoever publishes or compacts has read up to some number and competes for the next one, so of all that run at a time one
+succeeds, and the others start anew. A data folder without a manifest is an orphan, which ``vacuum`` deletes. The
+published watermark stands in the last manifest; nothing else stores it.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import os
 import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom as blooms
 from ..schema import FILE_INDEX, MUTATION, PublishConflict, StoreError, identified, verify_columns
+from .objects import Client
 
 ROW_GROUP_ROWS = 8192
 
@@ -79,9 +79,11 @@ class FileIndex:
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, root: str, row_group_rows: int = ROW_GROUP_ROWS, bloom_filters: bool = True):
+    def __init__(self, spark: SparkSession, root: str, row_group_rows: int = ROW_GROUP_ROWS, bloom_filters: bool = True, client: Client | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.row_group_rows, self.bloom_filters = row_group_rows, bloom_filters
+        self.client = client or Client(spark)
+        self._manifests: dict[int, dict] = {}  # what was read once: a manifest never changes
 
     def bootstrap(self) -> None:
         """Idempotent: an empty lake has no files and watermark 0."""
@@ -98,53 +100,38 @@ class Lake:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    @property
-    def _local(self) -> Path | None:
-        return Path(self._path().toUri().getPath()) if self._fs().getScheme() == "file" else None
+    def _file(self, *parts: str) -> str:
+        """A full path: the scheme is the file system's if the root names none."""
+        return self._fs().makeQualified(self._path(*parts)).toString()
 
     def versions(self) -> list[int]:
-        if not self.exists:
-            return []
-        names = [s.getPath().getName() for s in self._fs().listStatus(self._path("manifest"))]
+        """The numbers of the manifests."""
+        names = [name for name, _ in self.client.list(self._file("manifest"))]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
 
-    def watermark(self) -> int:
-        return max(self.versions(), default=0)
-
     def _manifest(self, version: int) -> dict:
-        stream = self._fs().open(self._path("manifest", f"{version:020d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        if version not in self._manifests:
+            self._manifests[version] = json.loads(self.client.get(self._file("manifest", f"{version:020d}.json")))
+        return self._manifests[version]
+
+    def state(self) -> tuple[int, int]:
+        """The last manifest's number, and the watermark."""
+        last = max(self.versions(), default=0)
+        return last, self._manifest(last)["watermark"] if last else 0
+
+    def watermark(self) -> int:
+        return self.state()[1]
 
     def index(self, as_of: int | None = None) -> FileIndex:
-        """The live files as of a watermark: those that manifests up to it list, less those that a compaction replaced."""
+        """The live files; as of a watermark: those that publishes up to it have made, whatever a compaction replaced later."""
         entries: dict[str, FileEntry] = {}
         gone: set[str] = set()
-        for version in self.versions():
-            if as_of is None or version <= as_of:
-                told = self._manifest(version)
-                gone |= set(told.get("replaced", []))
+        for told in map(self._manifest, self.versions()):
+            if as_of is None or told["watermark"] <= as_of and not told["replaced"]:
+                gone |= set(told["replaced"])
                 entries |= {e.location: e for e in map(FileEntry.from_json, told["files"])}
-        for step in self._compactions(as_of):
-            gone |= set(step["replaced"])
-            entries |= {e.location: e for e in map(FileEntry.from_json, step["files"])}
         return FileIndex([e for at, e in entries.items() if at not in gone])
 
-    def _compactions(self, as_of: int | None) -> list[dict]:
-        if as_of is not None or not self._fs().exists(self._path("compaction")):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs().listStatus(self._path("compaction")))
-        out = []
-        for name in (n for n in names if n.endswith(".json")):
-            stream = self._fs().open(self._path("compaction", name))
-            try:
-                out.append(json.loads(bytes(stream.readAllBytes())))
-            finally:
-                stream.close()
-        return out
-
     def files(self, entries: list[FileEntry]) -> DataFrame:
         """The rows of some files; no files, no rows."""
         if not entries:
@@ -154,20 +141,20 @@ class Lake:
     def rows(self, as_of: int | None = None) -> DataFrame:
         return self.files(self.index(as_of).entries)
 
-    def write(self, rows: DataFrame, watermark: int, folder: str | None = None, files: int = 1) -> list[FileEntry]:
-        """Stage collapsed rows in the folder of their watermark, over what an earlier attempt left. Not yet visible."""
+    def write(self, rows: DataFrame, watermark: int, files: int = 1) -> list[FileEntry]:
+        """Stage collapsed rows in a folder of this attempt alone. Not yet visible. More files than one are disjoint ranges of keys."""
         verify_columns(rows)
-        if folder is None and watermark in self.versions():
-            raise PublishConflict(f"{watermark} is published")
-        folder = folder or f"data/wm={watermark:020d}"
-        target = f"{self.root}/{folder}"
+        target = f"{self.root}/data/wm={watermark:020d}-{uuid.uuid4().hex}"
         rows = identified(rows)
         ordered = rows.repartition(1) if files == 1 else rows.repartitionByRange(files, "pk")
-        writer = ordered.sortWithinPartitions("pk").write.mode("overwrite").option("parquet.block.row.count.limit", self.row_group_rows)
+        writer = ordered.sortWithinPartitions("pk").write.option("parquet.block.row.count.limit", self.row_group_rows)
         if self.bloom_filters:
             writer = writer.option("parquet.bloom.filter.enabled#pk", "true").option("parquet.bloom.filter.expected.ndv#pk", self.row_group_rows).option("parquet.bloom.filter.fpp#pk", "0.01")
         writer.parquet(target)
-        return self._described(target, watermark)
+        made = self._described(target, watermark)
+        for entry in made:  # Spark has written them
+            self.client.charge("put", entry.location)
+        return made
 
     def _described(self, folder: str, watermark: int) -> list[FileEntry]:
         """Exact bounds and counts of each file, and a bloom filter of its keys; the driver gets a row per file and task."""
@@ -181,47 +168,35 @@ class Lake:
                 words.setdefault(r.file, []).append(bytes(r.words))
         return [FileEntry(r.file, watermark, bytes(r.low), bytes(r.high), r.file_size, r.n, blooms.merged(words[r.file]) if r.file in words else None) for r in stats]
 
-    def _create(self, path: tuple[str, ...], content: dict) -> None:
-        """Create a file exclusively and whole."""
-        data = json.dumps(content, sort_keys=True).encode()
-        if self._local is not None:
-            target = self._local.joinpath(*path)
-            target.parent.mkdir(parents=True, exist_ok=True)
-            staged = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-            with open(staged, "wb") as out:
-                out.write(data)
-                out.flush()
-                os.fsync(out.fileno())
-            try:
-                os.link(staged, target)
-            except FileExistsError:
-                raise PublishConflict(f"{'/'.join(path)} exists") from None
-            finally:
-                staged.unlink()
-            return
-        if self._fs().exists(self._path(*path)):
-            raise PublishConflict(f"{'/'.join(path)} exists")
-        stream = self._fs().create(self._path(*path), False)
-        try:
-            stream.write(bytearray(data))
-        finally:
-            stream.close()
-
-    def commit(self, watermark: int, entries: list[FileEntry]) -> None:
-        """The commit point. A watermark at or below the published one is refused."""
-        if watermark <= self.watermark():
-            raise PublishConflict(f"{watermark} isn't above the published {self.watermark()}")
-        self._create(("manifest", f"{watermark:020d}.json"), {"watermark": watermark, "files": [e.as_json() for e in entries]})
+    def commit(self, watermark: int, entries: list[FileEntry], after: int | None = None, replaced: list[FileEntry] | None = None) -> None:
+        """The commit point: the manifest behind number ``after`` (the last there is, if None), exclusively. Of those that
+        commit behind one number one succeeds. A publish at or below the published watermark is refused."""
+        last, published = self.state()
+        if replaced is None and watermark <= published:
+            raise PublishConflict(f"{watermark} isn't above the published {published}")
+        if after is not None and after != last:
+            raise PublishConflict(f"manifest {after + 1} exists")
+        told = {"watermark": max(watermark, published), "files": [e.as_json() for e in entries], "replaced": [e.location for e in replaced or []]}
+        self.client.put(self._file("manifest", f"{last + 1:020d}.json"), json.dumps(told, sort_keys=True).encode(), exclusive=True)
 
     def compact(self, files: int = 1) -> FileIndex:
         """Merge all live files into ``files`` disjoint ones; tombstones go, as no older file is left for them to hide."""
         from ..operators.memtable import collapsed
 
+        last, _ = self.state()
         old = self.index()
         if len(old) < 2:
             return old
-        steps = len(self._compactions(None))
         live = collapsed(self.files(old.entries)).where("op = 0").select(*MUTATION.names)
-        made = self.write(live, old.watermark, f"data/compact={steps:08d}-{uuid.uuid4().hex}", files)
-        self._create(("compaction", f"{steps:08d}.json"), {"replaced": [e.location for e in old.entries], "files": [e.as_json() for e in made]})
+        self.commit(old.watermark, self.write(live, old.watermark, files), last, old.entries)
         return self.index()
+
+    def orphans(self) -> list[str]:
+        """Data folders that no manifest names: attempts that failed, or that still run."""
+        named = {e["location"].rsplit("/", 2)[-2] for v in self.versions() for e in self._manifest(v)["files"]}
+        return [f"{self.root}/data/{name}" for name, _ in self.client.list(self._file("data")) if name not in named]
+
+    def vacuum(self, older_than_ms: int) -> int:
+        """Delete orphans last modified before that time; how many went."""
+        gone = [at for at in self.orphans() if self._fs().getFileStatus(self._path(*at.removeprefix(self.root + "/").split("/"))).getModificationTime() < older_than_ms]
+        return sum(self.client.delete(self._file(*at.removeprefix(self.root + "/").split("/"))) for at in gone)

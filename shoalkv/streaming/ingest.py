@@ -16,7 +16,7 @@ from ..schema import MUTATION
 from ..sources.lake import Lake
 
 
-def publishing(lake: Lake, seen: list[Flushed] | None = None, files: int = 1):
+def publishing(lake: Lake, seen: list[Flushed] | None = None, files: int | None = None):
     """The body of foreachBatch."""
 
     def body(batch: DataFrame, number: int) -> None:
@@ -27,7 +27,7 @@ def publishing(lake: Lake, seen: list[Flushed] | None = None, files: int = 1):
     return body
 
 
-def ingest(stream: DataFrame, lake: Lake, checkpoint: str, seen: list[Flushed] | None = None, files: int = 1) -> StreamingQuery:
+def ingest(stream: DataFrame, lake: Lake, checkpoint: str, seen: list[Flushed] | None = None, files: int | None = None) -> StreamingQuery:
     """Publish all that is available now; how much a micro-batch takes is the source's option (``maxFilesPerTrigger``)."""
     return stream.writeStream.foreachBatch(publishing(lake, seen, files)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
