@@ -165,5 +165,22 @@ def partial_blooms(keys: DataFrame, blocks: dict[str, int]) -> DataFrame:
     return keys.select("file", "pk").mapInArrow(run, "file string, words binary")
 
 
+def united(parts: DataFrame) -> DataFrame:
+    """The same, a row per file: parts of a file meet on one executor, a pair at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words = None, b""
+        for batch in batches:
+            for file, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != last and last is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([words], pa.binary())], names=["file", "words"])
+                words = merged([words, part]) if file == last else part
+                last = file
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([words], pa.binary())], names=["file", "words"])
+
+    return parts.repartition("file").sortWithinPartitions("file").mapInArrow(run, "file string, words binary")
+
+
 def merged(parts: list[bytes]) -> bytes:
     return np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in parts]).tobytes()

@@ -7,18 +7,25 @@ rest is the log's suffix. ``orders`` is the arm with disjoint key ranges.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .config import Config
 from .functions import bloom, latency, paths
 from .operators import cache, memtable
 from .plans import flush, views
-from .schema import MUTATION, PLAIN
+from .plans.engine import Engine, bootstrap
+from .schema import MUTATION, PLAIN, CrashInjected, Op
 from .sources import log, objects
+from .sources.frames import Record
 from .sources.lake import Lake
+from .sources.reader import Reader
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,16 +101,25 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.groupBy("flush_id").agg(F.min("pk").alias("pk_min"), F.max("pk").alias("pk_max"), F.count(F.lit(1)).alias("record_count"), F.max("lsn").alias("watermark"))
 
 
-def scratch_lake(spark: SparkSession) -> Lake:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    lake = Lake(spark, f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}")
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder that driver and executors share; in local mode, where all are one machine, a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
+
+
+def scratch_lake(spark: SparkSession, **more) -> Lake:
+    lake = Lake(spark, scratch(spark), **more)
     lake.bootstrap()
     return lake
 
 
-def published_lake(spark: SparkSession, sf_dir: str, units: int = 8) -> Lake:
+def published_lake(spark: SparkSession, sf_dir: str, units: int = 8, **more) -> Lake:
     """A real lake with the first units published one after the other."""
-    f, lake, rows = unit(spark, sf_dir), scratch_lake(spark), mutations(spark, sf_dir)
+    f, lake, rows = unit(spark, sf_dir), scratch_lake(spark, **more), mutations(spark, sf_dir)
     for k in range(1, units + 1):
         flush.publish(lake, rows, upto=k * f)
     return lake
@@ -216,39 +232,71 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(key.alias("pk"), (F.col("o_orderkey") + 1).alias("lsn"), F.expr("o_orderkey div 1000").alias("flush_id"))
 
 
-@query("""SELECT o.pk, flush_id FROM (SELECT 'ord' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS pk FROM orders WHERE o_orderkey % 97 = 0) o JOIN
+@query("""SELECT o.pk, flush_id FROM (SELECT 'ord' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS pk FROM orders) o JOIN
 (SELECT o_orderkey // 1000 AS flush_id, min('ord' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0')) AS pk_min, max('ord' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0')) AS pk_max
 FROM orders GROUP BY 1) f ON o.pk BETWEEN pk_min AND pk_max""")
 def interval_candidates_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With disjoint files, one file is left for each key looked up (every 97th order)."""
+    """With disjoint files, one file is left for each order looked up."""
     rows = order_keys(spark, sf_dir)
-    asked = rows.where("(lsn - 1) % 97 = 0").select("pk")
-    return shown(views.candidates(asked, described(rows).select("flush_id", "pk_min", "pk_max")).select("pk", "flush_id"))
+    return shown(views.candidates(rows.select("pk"), described(rows).select("flush_id", "pk_min", "pk_max")).select("pk", "flush_id"))
 
 
 def _filters(rows: DataFrame) -> DataFrame:
-    """A filter per file, built in parts on the executors and joined back as a column."""
-    spark = rows.sparkSession
+    """flush_id, bloom: a filter per file, built in parts on the executors and merged there. The driver has a count per file."""
     counts = {str(r.flush_id): bloom.blocks_for(r.n) for r in rows.groupBy("flush_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts: dict[str, list[bytes]] = {}
-    for r in bloom.partial_blooms(rows.select(F.col("flush_id").cast("string").alias("file"), "pk"), counts).collect():
-        parts.setdefault(r.file, []).append(bytes(r.words))
-    return spark.createDataFrame([(int(k), bloom.merged(v)) for k, v in parts.items()], "flush_id long, bloom binary")
+    parts = bloom.partial_blooms(rows.select(F.col("flush_id").cast("string").alias("file"), "pk"), counts)
+    return bloom.united(parts).select(F.col("file").cast("long").alias("flush_id"), F.col("words").alias("bloom"))
 
 
 @query("SELECT count(*) AS n_present, CAST(0 AS BIGINT) AS n_rejected FROM filed")
 def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filed(spark, sf_dir).select("flush_id", "pk")
-    kept = bloom.bloom_pruned(rows.join(F.broadcast(_filters(rows)), "flush_id"))
+    kept = bloom.bloom_pruned(rows.join(_filters(rows), "flush_id"))
     counts = rows.agg(F.count(F.lit(1)).alias("n_present"))
     return kept.agg(F.count(F.lit(1)).alias("n_kept")).join(counts, F.lit(True)).select("n_present", (F.col("n_present") - F.col("n_kept")).alias("n_rejected"))
 
 
-@query()
+def _filters_sql() -> str:
+    """Filters and probes in SQL, for keys of three words of four bytes: murmur3 of both seeds, then block and bits."""
+    byte = lambda i: f"CAST(ascii(substr(pk, {i}, 1)) AS UBIGINT)"
+    low, rot = 4294967295, lambda x, by: f"((({x}) << {by}) | (({x}) >> {32 - by})) & 4294967295"
+    steps = ["s0 AS (SELECT pk, seed, seed AS h, " + ", ".join(f"({byte(4 * w + 1)} | ({byte(4 * w + 2)} << 8) | ({byte(4 * w + 3)} << 16) | ({byte(4 * w + 4)} << 24)) AS k{w}" for w in range(3)) + f" FROM (SELECT DISTINCT pk FROM muts), (VALUES ({bloom.HIGH_SEED}::UBIGINT), ({bloom.LOW_SEED}::UBIGINT)) v(seed))"]
+    n = 0
+
+    def step(what: str) -> None:
+        nonlocal n
+        steps.append(f"s{n + 1} AS (SELECT pk, seed, {what} FROM s{n})")
+        n += 1
+
+    def times(x: str, by: int) -> str:
+        return f"(({x}) * {by}::UBIGINT) & {low}"
+
+    for w in range(3):
+        rest = ", ".join(f"k{v}" for v in range(w + 1, 3))
+        tail = f", {rest}" if rest else ""
+        step(f"h, {times(f'k{w}', 0xCC9E2D51)} AS k{tail}")
+        step(f"h, {rot('k', 15)} AS k{tail}")
+        step(f"xor(h, {times('k', 0x1B873593)}) AS h{tail}")
+        step(f"{rot('h', 13)} AS h{tail}")
+        step(f"(h * 5 + {0xE6546B64}) & {low} AS h{tail}")
+    step("xor(h, 12::UBIGINT) AS h")
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        step(f"{times(f'xor(h, h >> {shift})', by)} AS h")
+    step("xor(h, h >> 16) AS h")
+    salts = ", ".join(f"({i}, {int(s)}::UBIGINT)" for i, s in enumerate(bloom.SALTS))
+    return ", " + ", ".join(steps) + f""", hashed AS (SELECT pk, max(h) FILTER (seed = {bloom.HIGH_SEED}) AS high, max(h) FILTER (seed = {bloom.LOW_SEED}) AS low FROM s{n} GROUP BY pk),
+bits AS (SELECT pk, high, i, (((low * salt) & {low}) >> 27) AS bit FROM hashed, (VALUES {salts}) t(i, salt)),
+sizes AS (SELECT flush_id, pk_min, pk_max, greatest(1, ceil(-8.0 * record_count / ln(1 - pow(0.01, 0.125)) / 256))::UBIGINT AS blocks FROM files),
+lit AS (SELECT DISTINCT flush_id, (high * blocks) >> 32 AS block, i, bit FROM filed JOIN sizes USING (flush_id) JOIN bits USING (pk)),
+asked AS (SELECT pk, flush_id, (high * blocks) >> 32 AS block, i, bit FROM bits JOIN sizes ON pk BETWEEN pk_min AND pk_max)
+SELECT pk, flush_id FROM asked JOIN lit USING (flush_id, block, i, bit) GROUP BY pk, flush_id HAVING count(*) = 8"""
+
+
+@query(_filters_sql())
 def bloom_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every key, the files that interval and filter leave."""
     rows = filed(spark, sf_dir)
-    index = described(rows).select("flush_id", "pk_min", "pk_max").join(F.broadcast(_filters(rows.select("flush_id", "pk"))), "flush_id")
+    index = described(rows).select("flush_id", "pk_min", "pk_max").join(_filters(rows.select("flush_id", "pk")), "flush_id")
     pairs = views.candidates(mutations(spark, sf_dir).select("pk").distinct(), index)
     return shown(bloom.bloom_pruned(pairs.select("pk", "flush_id", "bloom")))
 
@@ -452,7 +500,27 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("path"), (group * 1000).alias("start"), (group * 1000 + 500 + F.col("user_id") % 7).alias("end"))
 
 
-@query()
+def _lru_sql(reads: str, points: str) -> str:
+    """An LRU cache without one: a range is cached if all that was read since its last read, and itself, fit. ``points``: cache, cap."""
+    return f""", reads AS ({reads}), placed AS (
+  SELECT cache, cap, size, row_number() OVER o AS i, lag(seq) OVER p AS before, lead(seq) OVER p AS after, seq, size <= cap AS fits FROM reads JOIN ({points}) USING (cache)
+  WINDOW o AS (PARTITION BY cache, cap ORDER BY seq), p AS (PARTITION BY cache, cap, path, g, size ORDER BY seq)
+), met AS (
+  SELECT a.cache, a.cap, a.seq, any_value(a.size) AS size, any_value(a.fits) AS fits, any_value(a.before) AS before, coalesce(sum(b.size), 0) AS since
+  FROM placed a LEFT JOIN placed b ON a.cache = b.cache AND a.cap = b.cap AND b.fits AND b.seq > a.before AND b.seq < a.seq AND (b.after IS NULL OR b.after > a.seq) GROUP BY a.cache, a.cap, a.seq
+), hit AS (SELECT *, before IS NOT NULL AND fits AND since + size <= cap AS is_hit FROM met),
+kept AS (SELECT a.cache, a.cap, a.seq, any_value(a.size) AS size FROM placed a LEFT JOIN placed b ON a.cache = b.cache AND a.cap = b.cap AND b.fits AND b.after IS NULL AND b.seq > a.seq
+  WHERE a.after IS NULL AND a.fits GROUP BY a.cache, a.cap, a.seq HAVING coalesce(sum(b.size), 0) + any_value(a.size) <= any_value(a.cap)),
+left_ AS (SELECT cache, cap, count(*) AS n, sum(size) AS bytes FROM kept GROUP BY ALL),
+told AS (SELECT cache, cap, count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, CAST(coalesce(sum(size) FILTER (NOT is_hit), 0) AS BIGINT) AS bytes_fetched,
+  count(*) FILTER (NOT is_hit AND fits) - any_value(coalesce(left_.n, 0)) AS evictions, CAST(any_value(coalesce(left_.bytes, 0)) AS BIGINT) AS resident_bytes FROM hit LEFT JOIN left_ USING (cache, cap) GROUP BY cache, cap)
+"""
+
+
+_READS = "SELECT event_type AS cache, event_id AS seq, user_id % 20 AS path, user_id % 40 AS g, 500 + user_id % 7 AS size FROM events"
+
+
+@query(_lru_sql(_READS, "SELECT DISTINCT event_type AS cache, 10000 AS cap FROM events") + "SELECT cache, hits, misses, bytes_fetched, evictions, resident_bytes FROM told")
 def cache_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.simulated(trace(spark, sf_dir), 10_000)
 
@@ -470,11 +538,11 @@ def bench_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(paths.bench_key(F.col("o_orderkey")).alias("pk"), F.expr("o_orderkey div 10000").alias("file"), (F.col("o_orderkey") + 1).alias("lsn"), F.octet_length(value).alias("value_bytes"))
 
 
-@query("SELECT lsn, hex(encode(pk)) AS pk_hex, pk AS pk_back, crc FROM (SELECT lsn, pk, lpad(CAST(lsn AS VARCHAR), 20, '0') AS crc FROM muts)")
+@query("SELECT lsn, hex(encode(pk)) AS pk_hex, pk AS pk_back, padded FROM (SELECT lsn, pk, lpad(CAST(lsn AS VARCHAR), 20, '0') AS padded FROM muts)")
 def key_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hex and back, and padded names."""
     rows = mutations(spark, sf_dir).select("lsn", F.hex("pk").alias("pk_hex"))
-    return rows.select("lsn", "pk_hex", paths.decode_hex(F.col("pk_hex")).cast("string").alias("pk_back"), paths.padded(F.col("lsn")).alias("crc"))
+    return rows.select("lsn", "pk_hex", paths.decode_hex(F.col("pk_hex")).cast("string").alias("pk_back"), paths.padded(F.col("lsn")).alias("padded"))
 
 
 @query("""SELECT n_nationkey AS table_id, lower(r_name) || '/' AS schema_path, lower(n_name) || '/' AS table_path FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -498,9 +566,11 @@ def hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RATIOS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+_POINTS = f"SELECT 'all' AS cache, ratio, CAST(floor(bytes / ratio) AS BIGINT) AS cap FROM (SELECT sum(size) AS bytes FROM (SELECT DISTINCT path, g, size FROM ({_READS}))), (VALUES {', '.join(f'(CAST({r} AS DOUBLE))' for r in RATIOS)}) v(ratio)"
 
 
-@query()
+@query(_lru_sql(_READS.replace("event_type AS cache", "'all' AS cache"), _POINTS) + f"""SELECT ratio, hits + misses AS reads, CAST(hits AS DOUBLE) / (hits + misses) AS hit_rate, CAST(misses AS DOUBLE) / (hits + misses) AS fetches_per_read, evictions
+FROM told JOIN ({_POINTS}) USING (cache, cap)""")
 def cache_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bench's sweep over cache sizes: by working set over cache, the hit rate and the fetches per read. Only measured reads count."""
     reads = trace(spark, sf_dir).withColumn("cache", F.lit("all"))
@@ -513,9 +583,154 @@ def cache_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ratio", n.alias("reads"), (F.col("hits") / n).alias("hit_rate"), (F.col("misses") / n).alias("fetches_per_read"), "evictions")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('data', 'parquet', true), ('manifest', 'json', true)) t(part, kind, filled)")
 def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lake's objects after one publish: one data file, its side files, and the manifest."""
     lake = published_lake(spark, sf_dir, units=1)
     found = objects.listing(spark, lake.root)
     return found.select(F.regexp_extract("path", "/(data|manifest|compaction)/", 1).alias("part"), F.element_at(F.split("path", "[.]"), -1).alias("kind"), (F.col("size") > 0).alias("filled"))
+
+
+# The engine itself, over real logs and lakes.
+
+
+def _engine(spark: SparkSession, **more) -> tuple[Config, Engine]:
+    config = Config(root=scratch(spark), wal_dir=tempfile.mkdtemp(prefix="shoalkv-log-"), memtable_max_bytes=1 << 30, **more)
+    bootstrap(spark, config)
+    return config, Engine.open(spark, config)
+
+
+@query("""SELECT n_name AS pk, CASE WHEN n_nationkey % 3 = 0 OR n_nationkey % 7 = 0 OR n_nationkey % 5 <> 0 THEN 'Found' ELSE 'Deleted' END AS status,
+CASE WHEN n_nationkey % 3 = 0 THEN 'late' WHEN n_nationkey % 7 = 0 THEN 'new' || n_nationkey WHEN n_nationkey % 5 <> 0 THEN 'r' || n_regionkey END AS value,
+(SELECT count(*) + count(*) FILTER (n_nationkey % 5 = 0) + count(*) FILTER (n_nationkey % 7 = 0) FROM nation) AS watermark, 2 AS n_files FROM nation
+UNION ALL SELECT 'zzz', 'Missing', NULL, (SELECT count(*) + count(*) FILTER (n_nationkey % 5 = 0) + count(*) FILTER (n_nationkey % 7 = 0) FROM nation), 2""")
+def engine_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put, flush, delete, a crash after the files are written, recovery, flush, put, recovery: what each key's lookup then finds."""
+    rows = [(r.n_nationkey, r.n_name, r.n_regionkey) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").toLocalIterator()]
+    config, engine = _engine(spark)
+    engine.put_all([(name.encode(), b"r%d" % region) for _, name, region in rows])
+    engine.flush()
+    for i, name, _ in rows:
+        if i % 5 == 0:
+            engine.delete(name.encode())
+    engine.put_all([(name.encode(), b"new%d" % i) for i, name, _ in rows if i % 7 == 0])
+    try:
+        engine.flush(flush.CrashAt.AFTER_WRITE)
+    except CrashInjected:
+        engine.close()
+    engine = Engine.open(spark, config)
+    engine.flush()
+    engine.put_all([(name.encode(), b"late") for i, name, _ in rows if i % 3 == 0])
+    engine.close()
+    engine = Engine.open(spark, config)
+    found = [(key, engine.lookup(key.encode())) for key in [*(name for _, name, _ in rows), "zzz"]]
+    mark_, files = engine.watermark, engine.file_count
+    engine.close()
+    shown_ = [(key, x.kind.value, None if x.value is None else x.value.decode(), mark_, files) for key, x in found]
+    return spark.createDataFrame(shown_, "pk string, status string, value string, watermark long, n_files int")
+
+
+#: Row groups of the lake that the point reads go to, in rows.
+GROUP = 16
+
+
+@query(f"""SELECT k.pk, CASE WHEN f.pk IS NULL THEN 'Missing' WHEN f.op = 1 THEN 'Deleted' ELSE 'Found' END AS status, CASE WHEN f.op = 0 THEN f.value END AS value,
+(SELECT count(*) FROM files WHERE k.pk BETWEEN pk_min AND pk_max) AS n_candidates, true AS bounded
+FROM (SELECT min(pk) AS pk FROM filed UNION SELECT max(pk) FROM filed UNION SELECT min(pk) FROM filed WHERE op = 1 UNION SELECT min(pk) || 'x' FROM filed UNION SELECT 'zzz') k
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY flush_id DESC) AS r FROM filed) WHERE r = 1) f ON f.pk = k.pk WHERE k.pk IS NOT NULL""")
+def file_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys looked up in the published files by interval, filter, footer, row group and column chunk. ``bounded``: two ranges
+    a file's footer and three a row group at most, one row group a file, and nothing is fetched again for the same key."""
+    lake = published_lake(spark, sf_dir, row_group_rows=GROUP)
+    rows = filed(spark, sf_dir)
+    ends = rows.agg(F.min("pk").alias("a"), F.max("pk").alias("b"), F.min(F.when(F.col("op") == Op.DELETE, F.col("pk"))).alias("c")).first()
+    keys = sorted({bytes(x) for x in ends if x is not None} | {bytes(ends.a) + b"x", b"zzz"})
+    index, reader, out = lake.index(), Reader(lake.client, cache.RangeCache(64 << 20)), []
+    for key in keys:
+        lake.client.reset()
+        reader.files = reader.row_groups = 0
+        found, fetched = memtable.MISSING, []
+        for _ in range(2):
+            for entry in index.candidates(key):
+                if entry.bloom_may_contain(key) and (found := reader.lookup(entry.location, entry.file_size, key)) is not memtable.MISSING:
+                    break
+            fetched.append(lake.client.counts["get"])
+        bounded = fetched[0] <= 2 * reader.files + 3 * reader.row_groups and reader.row_groups <= reader.files and fetched[0] == fetched[1]
+        out.append((key.decode(), found.kind.value, None if found.value is None else found.value.decode(), len(index.candidates(key)), bounded))
+    return spark.createDataFrame(out, "pk string, status string, value string, n_candidates long, bounded boolean")
+
+
+@query("SELECT s_suppkey + 1 AS lsn, 'supp' || s_suppkey AS pk, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS op, CASE WHEN s_suppkey % 4 <> 0 THEN 'n' || s_nationkey END AS value, true AS ordered FROM supplier WHERE s_suppkey + 1 > (SELECT max(s_suppkey) // 3 + 1 FROM supplier)")
+def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers appended to a log of small segments, its first third truncated, its tail torn: opened again above the watermark, and decoded as a DataFrame."""
+    folder = tempfile.mkdtemp(prefix="shoalkv-log-")
+    writer, _ = log.Log.open(folder, 512)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").orderBy("s_suppkey")
+    highest = 0
+    for r in rows.toLocalIterator():
+        key, highest = b"supp%d" % r.s_suppkey, r.s_suppkey
+        writer.append([Record.delete(key, r.s_suppkey + 1) if r.s_suppkey % 4 == 0 else Record.put(key, r.s_suppkey + 1, b"n%d" % r.s_nationkey)])
+    writer.truncate_through(highest // 3 + 1)
+    last = writer.active.path
+    writer.close()
+    with open(last, "ab") as torn:
+        torn.write(b"\x01\x02\x03")
+    reopened, replay = log.Log.open(folder, 512, highest // 3 + 1)
+    starts = [x.start_lsn for x in log.list_segments(reopened.folder)]
+    ordered = starts == sorted(starts) and replay.max_lsn == highest + 1 and reopened.size_bytes() == sum(x.path.stat().st_size for x in log.list_segments(reopened.folder))
+    reopened.close()
+    known = [(r.lsn,) for r in replay.records]
+    decoded = log.log_frame(spark, folder, highest // 3 + 1) if spark.sparkContext.master.startswith("local") else spark.createDataFrame([(r.pk, r.lsn, int(r.op), r.value) for r in replay.records], MUTATION)
+    both = decoded.join(spark.createDataFrame(known, "lsn long"), "lsn")  # what the writer's replay and the executors' decoding agree on
+    return shown(both.select("lsn", "pk", "op", "value", F.lit(ordered).alias("ordered")))
+
+
+@query("SELECT 'r' || r_regionkey || CASE WHEN copied THEN '-copy' ELSE '' END AS name, CAST(strlen(r_name) AS BIGINT) AS size, r_name AS content FROM region, (VALUES (false), (true)) v(copied) WHERE copied OR r_regionkey % 2 = 0")
+def object_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects put, read, copied and deleted, and what the store then lists and holds."""
+    client, folder = objects.Client(spark), scratch(spark)
+    rows = [(r.r_regionkey, r.r_name) for r in table(spark, sf_dir, "region").toLocalIterator()]
+    for i, name in rows:
+        client.put(f"{folder}/r{i}", name.encode())
+        client.copy(f"{folder}/r{i}", f"{folder}/r{i}-copy")
+        if i % 2:
+            client.delete(f"{folder}/r{i}")
+    out = [(name, client.head(f"{folder}/{name}")[0], client.get(f"{folder}/{name}").decode()) for name, _ in client.list(folder)]
+    return spark.createDataFrame(out, "name string, size long, content string")
+
+
+@query("SELECT * FROM (VALUES ('data', 'put', 1), ('manifest', 'put', 1), ('data', 'get', 5)) t(part, op, n)")
+def request_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a flush writes, and what a cold and a warm read of it fetch: a data file and a manifest; two ranges of the footer and three chunks."""
+    _, engine = _engine(spark)
+    engine.put_all([(b"k%04d" % i, b"v" * 64) for i in range(100)])
+    with engine.lake.client.trace() as seen:
+        engine.flush()
+        for _ in range(2):
+            engine.get(b"k0050")
+    engine.close()
+    found = spark.createDataFrame([("manifest" if "/manifest" in path else "data", op) for op, path, *_ in seen], "part string, op string")
+    return found.where("op = 'put' or (op = 'get' and part = 'data')").groupBy("part", "op").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('pk', 1, 0, 'BYTE_ARRAY'), ('lsn', 2, 1, 'INT64'), ('op', 3, 2, 'INT32'), ('value', 4, 3, 'BYTE_ARRAY')) t(name, field_id, ord, kind)")
+def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a published file in their order, with their field ids, from its footer."""
+    lake = published_lake(spark, sf_dir, units=1)
+    entry = lake.index().entries[0]
+    metadata = Reader(lake.client, cache.RangeCache(1 << 20)).footer(entry.location, entry.file_size).metadata
+    fields = metadata.schema.to_arrow_schema()
+    rows = [(f.name, int(f.metadata[b"PARQUET:field_id"]), i, metadata.schema.column(i).physical_type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "name string, field_id int, ord int, kind string").orderBy("ord")
+
+
+@query("SELECT pk, r // 10000 AS file, lsn FROM (SELECT 'key' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS pk, o_orderkey + 1 AS lsn, row_number() OVER (ORDER BY md5('5:' || o_orderkey), o_orderkey) - 1 AS r FROM orders)")
+def bench_table_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bench's table in seeded random order, 10,000 keys to a file. Places are counted within ranges of the hash, and the ranges' counts summed before them."""
+    order = F.md5(F.concat(F.lit("5:"), F.col("o_orderkey").cast("string")).cast("binary"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", order.alias("ord")).withColumn("part", F.substring("ord", 1, 3))
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # 4,096 rows at most
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("ord", "o_orderkey")) - 1
+    placed = rows.join(F.broadcast(before), "part").withColumn("place", place)
+    return placed.select(paths.bench_key(F.col("o_orderkey")).alias("pk"), F.expr("place div 10000").alias("file"), (F.col("o_orderkey") + 1).alias("lsn"))
