@@ -185,8 +185,12 @@ def documents_mix(**more) -> Mix:
     return Mix(levels=levels, weights=domains | langs, **more)
 
 
-#: The query's result in SQL: the same budgets, and each leaf ordered whole.
-MIX_SQL = r"""
+def mix_sql(percent: int = 60, epochs: int = 4) -> str:
+    """The result of ``documents_mix`` in SQL: the same budgets, and each leaf ordered whole."""
+    return _MIX_SQL.replace("sum(n_tokens) * 4 AS", f"sum(n_tokens) * {int(epochs)} AS").replace("* 60 // 100", f"* {int(percent)} // 100")
+
+
+_MIX_SQL = r"""
 WITH w AS (
   SELECT * FROM (VALUES ('domain0', 5), ('domain1', 3), ('domain2', 2)) t(domain, weight)
 ), v AS (
@@ -236,3 +240,5 @@ WITH w AS (
 )
 SELECT doc_id, domain, lang, source, n_tokens, unnest(range(CAST(epochs AS BIGINT))) AS epoch FROM e WHERE epochs > 0
 """
+
+MIX_SQL = mix_sql()
