@@ -15,10 +15,11 @@ bloom filter over their digests.
 
 ``state`` names a folder that outlives the call: store, stream checkpoint and states. A later call
 (of another session too) with new rows meets the state of all rows before, and returns its own rows with
-the first place and the count over all. What an earlier call has returned isn't taken back.
+the first place and the count over all. What an earlier call has returned isn't taken back. Each call lands in a partition
+of its own, and their numbers rise, so a locator tells the order of calls, and a call reads back no other's files but for hits.
 
 Defined cases: null text counts as empty; of equal texts the smallest id stays, a
-null id comes last, and of repeated rows with one id the first in the store stays;
+null id comes last, and of repeated rows with one id the first in the store stays, earlier calls before later ones;
 an empty table gives no rows; further columns are kept by ``distinct`` and passed
 over by ``classes``, whatever their names; texts of any length are one row of the store each. Calls on
 one ``state`` folder must follow one another and have the same columns.
@@ -26,8 +27,6 @@ one ``state`` folder must follow one another and have the same columns.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +54,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]{{2,}}|[\x09-\x0D]", " ")
 
 
+def _next(spark: SparkSession, path: str) -> int:
+    """The number of a store's next call."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return 1 + max((int(n.removeprefix("call=")) for n in names if n.startswith("call=")), default=0)
+
+
 class Store:
-    """The landed rows: ``row`` (all columns), ``doc_id``, ``digest``, ``norm`` (null where it equals ``text``), ``call``."""
+    """The landed rows: ``row`` (all columns), ``doc_id``, ``digest``, ``norm`` (null where it equals ``text``), partitioned by ``call``."""
 
     def __init__(self, df: DataFrame, text: str, key: str, digest_bytes: int, folder: str):
-        self.spark, self.path, self.call = df.sparkSession, f"{folder}/store", uuid.uuid4().hex
+        self.spark, self.path = df.sparkSession, f"{folder}/store"
+        self.call = _next(self.spark, self.path)
         self.body = F.coalesce("norm", F.col("text"), F.lit(""))
         norm = normalised(df[f"`{text}`"].cast("string"))
         landed = df.select(
@@ -73,10 +81,9 @@ class Store:
             "row", "text", "doc_id",
             (digest if digest_bytes == 32 else F.substring(digest, 1, digest_bytes)).alias("digest"),
             F.when(~F.col("norm").eqNullSafe(F.col("text")), F.col("norm")).alias("norm"),
-            F.lit(self.call).alias("call"),
         )
-        landed.write.mode("append").option("compression", "zstd").parquet(self.path)
-        self.schema = landed.schema
+        landed.write.option("compression", "zstd").parquet(f"{self.path}/call={self.call:010d}")
+        self.schema = T.StructType([*landed.schema.fields, T.StructField("call", T.IntegerType())])
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path).select("*", *_PLACE())
