@@ -123,29 +123,38 @@ def may_contain(bloom: bytes | None, key: bytes) -> bool:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parsed: dict[bytes, Bloom | None] = {}
+    """Over rows (file, share, side, pk, words) sorted by the first three: a file's filter comes before the keys it is asked for."""
+    file, bloom = None, None
     for batch in batches:
-        keys, blooms = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
-        codes = blooms.dictionary_encode()
-        keep = np.ones(len(keys), bool)
-        at = codes.indices.to_numpy(zero_copy_only=False)
-        for i, data in enumerate(codes.dictionary.to_pylist()):
-            if data not in parsed:
-                if len(parsed) > 64:
-                    parsed.clear()
-                parsed[data] = Bloom.parse(data)
-            if parsed[data] is not None:
-                rows = np.flatnonzero(at == i)
-                keep[rows] = parsed[data].might_contain([keys[r] for r in rows.tolist()])
+        files, side = batch.column(0), batch.column(2).to_numpy()
+        codes = files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((codes[1:] != codes[:-1]) | (side[1:] == 0) | (side[:-1] == 0)) + 1
+        keep = np.zeros(batch.num_rows, bool)
+        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            own = files[s].as_py()
+            if own != file:
+                file, bloom = own, None
+            if side[s] == 0:
+                bloom = Bloom.parse(batch.column(4)[s].as_py())
+            else:
+                keep[s:e] = bloom.might_contain(batch.column(3).slice(s, e - s).to_pylist()) if bloom else True
         kept = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays(kept.columns[:-2], names=kept.schema.names[:-2])
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3)], names=["file", "pk"])
 
 
-def bloom_pruned(pairs: DataFrame, key: str = "pk", bloom: str = "bloom") -> DataFrame:
-    """The rows of ``pairs`` whose filter doesn't rule the key out; the filter's column goes."""
-    keep = [c for c in pairs.columns if c != bloom]
-    ready = pairs.select(*keep, F.col(key).alias("__key"), F.col(bloom).alias("__bloom"))
-    return ready.mapInArrow(_probe, pairs.select(*keep).schema)
+#: Shares that the keys asked of one file are dealt into, over tasks.
+SHARES = 8
+
+
+def bloom_pruned(pairs: DataFrame, filters: DataFrame) -> DataFrame:
+    """The rows (``file``, ``pk``) of ``pairs`` that the file's filter doesn't rule out. ``filters`` has ``file`` and ``words``, a row per
+    file at most; a file without one keeps its rows. Files are text. A filter travels once to each share of its file's keys, never beside each key."""
+    share = F.pmod(F.xxhash64("pk"), F.lit(SHARES)).cast("int")
+    asked = pairs.select("file", share.alias("share"), F.lit(1).alias("side"), "pk", F.lit(None).cast("binary").alias("words"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    told = filters.select("file", each, F.lit(0).alias("side"), F.lit(None).cast("binary").alias("pk"), "words")
+    ready = told.union(asked).repartition("file", "share").sortWithinPartitions("file", "share", "side")
+    return ready.mapInArrow(_probe, "file string, pk binary")
 
 
 def partial_blooms(keys: DataFrame, blocks: dict[str, int]) -> DataFrame:

@@ -37,10 +37,21 @@ def as_of(mutations: DataFrame, watermark: int) -> DataFrame:
     return current(mutations.where(F.col("lsn") <= watermark))
 
 
-def shadowed(versions: DataFrame) -> DataFrame:
-    """Versions that a newer one of their key hides."""
-    newest = Window.partitionBy("pk").orderBy(F.desc("lsn"))
-    return versions.withColumn("depth", F.row_number().over(newest)).where("depth > 1")
+#: LSNs of one window over a key's versions.
+LSN_RANGE = 1 << 20
+
+
+def shadowed(versions: DataFrame, unit: int = LSN_RANGE) -> DataFrame:
+    """Versions that a newer one of their key hides, with ``depth``: 1 is the newest, which isn't among them.
+
+    No window holds a hot key: versions are numbered within ranges of ``unit`` LSNs, and to that comes the number of the key's
+    versions in later ranges, a row per key and range."""
+    ranged = versions.withColumn("slot", F.floor(F.col("lsn") / unit))
+    counts = ranged.groupBy("pk", "slot").agg(F.count(F.lit(1)).alias("n"))
+    above = counts.select("pk", "slot", (F.sum("n").over(Window.partitionBy("pk").orderBy(F.desc("slot"))) - F.col("n")).alias("above"))
+    within = F.row_number().over(Window.partitionBy("pk", "slot").orderBy(F.desc("lsn")))
+    placed = ranged.withColumn("place", within).join(above, ["pk", "slot"])
+    return placed.select(*versions.columns, (F.col("place") + F.col("above")).alias("depth")).where("depth > 1")
 
 
 def newest_file_first(files: DataFrame) -> DataFrame:
@@ -68,10 +79,37 @@ def multi_get(keys: DataFrame, versions: DataFrame) -> DataFrame:
     return found.select("pk", status(F.col("op"), F.col("met")).alias("status"), F.when(F.col("op") == 0, F.col("value")).alias("value"))
 
 
+#: Cuts of the key space (keys on the driver), rows of the cut index that are sent to every scan, and shares that a segment's keys are dealt into beyond that.
+CUTS, SENT, SHARES = 255, 1_000_000, 64
+
+
+def _segment(key: Column, cuts: list[bytes], first: int = 0) -> Column:
+    """How many of the ascending cuts are at or below the key, by a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(key < F.lit(cuts[half]), _segment(key, cuts[:half], first)).otherwise(_segment(key, cuts[half + 1 :], first + half + 1))
+
+
 def candidates(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """The files whose interval holds each key, for keys in bulk. The index has a row per file; intervals are matched by a join
-    that ranges over it, so it is broadcast while Spark's size estimate allows and looped over in blocks otherwise."""
-    return keys.join(index, F.col("pk").between(F.col("pk_min"), F.col("pk_max")))
+    """The files whose interval holds each key, for keys in bulk. The index has a row per file; keep filters out of it.
+
+    The key space is cut at lower bounds of files (which of them only tells on the speed), each file stands in all segments that its
+    interval meets, and a key meets the files of its own segment: an equality join with the interval as a condition on top. Up to ``SENT`` rows
+    of the index are sent to the scans of the keys; beyond that keys and files are shuffled, each segment's keys in ``SHARES`` shares."""
+    bounds = index.select("pk_min").where("pk_min is not null").distinct()
+    cuts = sorted(bytes(r.pk_min) for r in bounds.orderBy(F.xxhash64("pk_min")).limit(CUTS).collect())
+    ends = _segment(F.col("pk_min"), cuts), _segment(F.col("pk_max"), cuts)
+    cut = index.where("pk_min <= pk_max").withColumn("segment", F.explode(F.sequence(*ends)))
+    asked = keys.withColumn("segment", _segment(F.col("pk"), cuts))
+    on = ["segment"]
+    if cut.limit(SENT + 1).count() <= SENT:
+        cut = F.broadcast(cut)
+    else:
+        asked = asked.withColumn("share", F.pmod(F.xxhash64("pk"), F.lit(SHARES)))
+        cut = cut.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        on.append("share")
+    return asked.join(cut, on).where(F.col("pk").between(F.col("pk_min"), F.col("pk_max"))).drop(*on)
 
 
 def recovered(lake: DataFrame, log: DataFrame, watermark: int) -> DataFrame:

@@ -242,16 +242,16 @@ def interval_candidates_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filters(rows: DataFrame) -> DataFrame:
-    """flush_id, bloom: a filter per file, built in parts on the executors and merged there. The driver has a count per file."""
+    """file, words: a filter per file, built in parts on the executors and merged there. The driver has a count per file."""
     counts = {str(r.flush_id): bloom.blocks_for(r.n) for r in rows.groupBy("flush_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = bloom.partial_blooms(rows.select(F.col("flush_id").cast("string").alias("file"), "pk"), counts)
-    return bloom.united(parts).select(F.col("file").cast("long").alias("flush_id"), F.col("words").alias("bloom"))
+    return bloom.united(parts)
 
 
 @query("SELECT count(*) AS n_present, CAST(0 AS BIGINT) AS n_rejected FROM filed")
 def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = filed(spark, sf_dir).select("flush_id", "pk")
-    kept = bloom.bloom_pruned(rows.join(_filters(rows), "flush_id"))
+    kept = bloom.bloom_pruned(rows.select(F.col("flush_id").cast("string").alias("file"), "pk"), _filters(rows))
     counts = rows.agg(F.count(F.lit(1)).alias("n_present"))
     return kept.agg(F.count(F.lit(1)).alias("n_kept")).join(counts, F.lit(True)).select("n_present", (F.col("n_present") - F.col("n_kept")).alias("n_rejected"))
 
@@ -296,9 +296,9 @@ SELECT pk, flush_id FROM asked JOIN lit USING (flush_id, block, i, bit) GROUP BY
 def bloom_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every key, the files that interval and filter leave."""
     rows = filed(spark, sf_dir)
-    index = described(rows).select("flush_id", "pk_min", "pk_max").join(_filters(rows.select("flush_id", "pk")), "flush_id")
-    pairs = views.candidates(mutations(spark, sf_dir).select("pk").distinct(), index)
-    return shown(bloom.bloom_pruned(pairs.select("pk", "flush_id", "bloom")))
+    index = described(rows).select(F.col("flush_id").cast("string").alias("file"), "pk_min", "pk_max")
+    pairs = views.candidates(mutations(spark, sf_dir).select("pk").distinct(), index).select("file", "pk")
+    return shown(bloom.bloom_pruned(pairs, _filters(rows.select("flush_id", "pk"))).select("pk", F.col("file").cast("long").alias("flush_id")))
 
 
 # Reads.
