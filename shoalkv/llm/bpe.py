@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Pre-tokens remembered by a Python worker between slices; forgetting them changes no result.
-MEMO = 400_000
+#: Bytes, about, of pre-tokens and ids remembered by a Python worker between texts; forgetting them changes no result.
+MEMO = 48 << 20
+#: Bytes that an entry takes besides its characters and ids.
+ENTRY = 200
 #: Pre-tokens of one text taken at a time.
 CHUNK = 200_000
 
@@ -146,16 +148,18 @@ class Codec:
         for key, i in ranks.items():
             self.tokens[i] = key
         self._memo: dict[str, bytes] = {}
+        self._held = 0
         self._compiled = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_memo": {}, "_compiled": None}
+        return {**self.__dict__, "_memo": {}, "_held": 0, "_compiled": None}
 
     def _learn(self, new: list[str]) -> None:
         pieces = [x.encode("utf-8", "surrogatepass") for x in new]
         ids, ranks, memo = self.ids, self.ranks, self._memo
         for text, piece, at in zip(new, pieces, self.table.find(pieces), strict=True):
-            memo[text] = ids[at].to_bytes(4, "little") if at >= 0 else np.array(merge_bytes(piece, ranks), "<u4").tobytes()
+            memo[text] = packed = ids[at].to_bytes(4, "little") if at >= 0 else np.array(merge_bytes(piece, ranks), "<u4").tobytes()
+            self._held += len(piece) + len(packed) + ENTRY
 
     def encode(self, text: str) -> bytes:
         if self._compiled is None:
@@ -168,8 +172,9 @@ class Codec:
         return b"".join(parts)
 
     def _pack(self, pieces: list[str]) -> bytes:
-        if len(self._memo) > MEMO:
+        if self._held > MEMO:
             self._memo.clear()
+            self._held = 0
         if new := set(pieces).difference(self._memo):
             self._learn(list(new))
         return b"".join(map(self._memo.__getitem__, pieces))
@@ -182,20 +187,19 @@ class Codec:
             raise ValueError("an id is not in the vocabulary") from None
 
 
-_with = lambda df, name, kind: T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
-
-
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with ``target`` made from the values of ``source``, slice by slice."""
-    schema = _with(df, target, kind)
-    keep = [f.name for f in schema.fields[:-1]]
+def _mapped(df: DataFrame, source: str, targets: list[str], make) -> DataFrame:
+    """``df`` with the binary ``targets`` made from the values of ``source``, slice by slice."""
+    made_of = {t.lower() for t in targets}
+    kept = [f for f in df.schema.fields if f.name.lower() not in made_of]
+    schema = T.StructType(kept + [T.StructField(t, T.BinaryType()) for t in targets])
+    keep = [f.name for f in kept]
     cols = [df[f"`{c}`"] for c in keep] + [df[f"`{source}`"].alias("_" * (1 + max(map(len, schema.names))))]  # a name that no column has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in slices(batches):
-            made = pa.array([one(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], target])
+            made = zip(*[one(x) for x in batch.column(batch.num_columns - 1).to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, pa.binary()) for x in made]], names=schema.names)
 
     return df.select(cols).mapInArrow(run, schema)
 
@@ -203,13 +207,29 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, make) ->
 def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the packed ids of the column ``text`` in the binary column ``ids``."""
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    return _mapped(df, text, ids, T.BinaryType(), lambda: lambda x, c=shared.value: c.encode(x) if x else b"")
+    return _mapped(df, text, [ids], lambda: lambda x, c=shared.value: (c.encode(x) if x else b"",))
 
 
 def decode(df: DataFrame, codec: Codec, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``df`` with the bytes of the packed ids in the binary column ``data``."""
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    return _mapped(df, ids, data, T.BinaryType(), lambda: lambda x, c=shared.value: c.decode(x) if x else b"")
+    return _mapped(df, ids, [data], lambda: lambda x, c=shared.value: (c.decode(x) if x else b"",))
+
+
+def coded(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """``df`` encoded and decoded again, in one pass and one worker a task."""
+    shared = df.sparkSession.sparkContext.broadcast(codec)
+
+    def make():
+        codec = shared.value
+
+        def one(x: str | None) -> tuple[bytes, bytes]:
+            packed = codec.encode(x) if x else b""
+            return packed, codec.decode(packed)
+
+        return one
+
+    return _mapped(df, text, [ids, data], make)
 
 
 def id_list(packed: str) -> F.Column:
@@ -223,8 +243,7 @@ def id_list(packed: str) -> F.Column:
 def digests(df: DataFrame, codec: Codec, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_tokens, and the SHA-256 of the packed ids and of the decoded bytes."""
     rows = df.select(df[f"`{key}`"].alias("doc_id"), df[f"`{text}`"].cast("string").alias("text"))
-    encoded = encode(rows, codec).select("doc_id", "ids")
-    return decode(encoded, codec).select(
+    return coded(rows, codec).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
