@@ -104,6 +104,22 @@ def test_the_hash_is_minimal_and_perfect():
     assert table.find(keys) == list(range(len(keys))) and set(table.find([b"absent", b"k-1", b"5"])) == {-1}
 
 
+def test_bpe_forgets_without_a_change(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 2000)
+    own = encoding(codec)
+    for text in [*(f"word{i} again{i % 3}" for i in range(30)), "x" * 3000, "", "word1 again1"]:
+        assert list(struct.unpack(f"<{len(codec.encode(text)) // 4}I", codec.encode(text))) == own.encode_ordinary(text)
+        assert len(codec._memo) * bpe.ENTRY <= codec._held <= 2000 + 4 * (3000 + bpe.ENTRY)
+
+
+def test_bpe_in_one_pass_is_both(docs, codec):
+    """Output names that clash with columns replace these, in any case of letters."""
+    apart = bpe.decode(bpe.encode(docs, codec, ids="norm"), codec, ids="norm", data="LANG")
+    both = bpe.coded(docs, codec, ids="norm", data="LANG")
+    assert both.columns == apart.columns and both.columns[-2:] == ["norm", "LANG"] and "lang" not in both.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+
+
 def test_bpe_keeps_other_columns_and_lists_ids(spark, docs, empty, codec):
     got = bpe.encode(docs.where("doc_id = 405"), codec).withColumn("list", bpe.id_list("ids")).first()
     assert got.list == encoding(codec).encode_ordinary(got.text) and got.norm == "x"
