@@ -11,8 +11,8 @@ a window over its children ordered by capacity per weight (integers throughout).
 A leaf's budget is spent in epochs: whole passes over its rows, then the longest prefix of
 the next epoch's seeded order (md5 of seed, epoch and id) whose tokens fit. The prefix isn't found
 by sorting a leaf, which may hold a third of all rows: rows are dealt to ranges of the hash,
-the ranges' sums tell in which one the prefix ends, and only that range is ordered. What then selects
-a row is its leaf's threshold, a map-side comparison.
+the ranges' sums tell in which one the prefix ends, and only that range is ordered. The ranges are summed by blocks first,
+so that no window runs over all ranges of a leaf. What then selects a row is its leaf's threshold, a map-side comparison.
 
 Defined cases: a null id counts as the empty text in the order; null levels are named
 ``unknown``; null text has no tokens and goes with whole epochs, or with the prefix that covers
@@ -32,11 +32,13 @@ from .common import SPACE, written
 
 #: Expected rows of a leaf in one range of the hash.
 RANGE_ROWS = 20_000
+#: Ranges of a leaf in one block: a leaf's blocks, and then one block's ranges, are what a window holds.
+BLOCK = 4096
 #: A plan of at most so many leaves is broadcast (some 100 bytes each); a larger one is joined.
 BROADCAST_LEAVES = 20_000
 
 #: Names that the plan's own columns have; a level can't be called so.
-RESERVED = frozenset({"doc_id", "n_tokens", "tokens", "n_rows", "capacity", "weight", "budget", "held", "left", "full", "spent", "shares", "own", "target", "passes", "rest", "ranges", "range", "order", "end", "upto", "before", "sum", "at", "epoch", "epochs", "row"})
+RESERVED = frozenset({"doc_id", "n_tokens", "tokens", "n_rows", "capacity", "weight", "budget", "held", "left", "full", "spent", "shares", "own", "target", "passes", "rest", "ranges", "range", "order", "end", "block", "upto", "before", "sum", "at", "epoch", "epochs", "row"})
 
 
 def n_words(text: Column) -> Column:
@@ -125,6 +127,14 @@ def _joined(rows: DataFrame, plan: DataFrame, names: list[str], small: bool) ->
     return rows.join(F.broadcast(plan) if small else plan, names)
 
 
+def _reached(sums: DataFrame, names: list[str], place: str) -> DataFrame:
+    """``sums``: tokens by leaf and place, ``rest``, and ``before`` (the tokens ahead of these places). Per leaf, as ``at``: the first
+    place with which the running sum passes ``rest``, and the tokens ahead of it."""
+    upto = Window.partitionBy(*names).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = sums.withColumn("sum", F.col("before") + F.sum("tokens").over(upto)).where("sum > rest")
+    return passed.groupBy(*names).agg(F.min_by(F.struct(place, (F.col("sum") - F.col("tokens")).alias("before")), place).alias("at"))
+
+
 def plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     """Per leaf: ``passes`` (whole epochs), ``ranges``, ``end`` and ``upto``: the range and the key in it with which the last
     prefix ends. Second: whether it may be broadcast."""
@@ -139,9 +149,10 @@ def plan(rows: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     leaf = written(leaf, "leaves")
     small = leaf.count() <= BROADCAST_LEAVES
     placed = _joined(rows, leaf, names, small).withColumn("order", _order(mix, F.col("doc_id"))).withColumn("range", _range(F.col("order")))
-    sums = placed.groupBy(*names, "rest", "range").agg(F.sum("n_tokens").alias("tokens"))
-    upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = sums.withColumn("sum", F.sum("tokens").over(upto)).where("sum > rest").groupBy(*names).agg(F.min_by(F.struct("range", (F.col("sum") - F.col("tokens")).alias("before")), "range").alias("at"))
+    sums = written(placed.groupBy(*names, "rest", "range").agg(F.sum("n_tokens").alias("tokens")).withColumn("block", F.expr(f"range div {BLOCK}")), "sums")
+    blocks = sums.groupBy(*names, "rest", "block").agg(F.sum("tokens").alias("tokens")).withColumn("before", F.lit(0).cast("long"))
+    block = _reached(blocks, names, "block").select(*names, F.col("at.block").alias("block"), F.col("at.before").alias("before"))
+    ended = _reached(sums.join(block, [*names, "block"]), names, "range")
     leaf = written(leaf.join(ended, names).select(*leaf.columns, F.col("at.range").alias("end"), F.col("at.before").alias("before")), "ends")
     last = _joined(rows, leaf, names, small).withColumn("order", _order(mix, F.col("doc_id"))).withColumn("range", _range(F.col("order"))).where("range = end")
     within = Window.partitionBy(*names).orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -714,6 +714,7 @@ def test_levels_with_names_of_the_plan_raise(docs):
 def test_ranges_change_nothing(docs, monkeypatch):
     whole = keyed(mixing.select(docs, mixing.documents_mix()), "doc_id", "epoch")
     monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    monkeypatch.setattr(mixing, "BLOCK", 2)
     monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
     assert keyed(mixing.select(docs, mixing.documents_mix()), "doc_id", "epoch") == whole
 
