@@ -111,6 +111,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
 
 
+def log_folder(spark: SparkSession) -> str:
+    """A fresh folder for a log: in the shared folder if that is mounted, else on the driver's disk, as a log's files are appended to and forced to disk, which other stores don't do."""
+    return objects.Client(spark).local(scratch(spark)) or tempfile.mkdtemp(prefix="shoalkv-log-")
+
+
 def scratch_lake(spark: SparkSession, **more) -> Lake:
     lake = Lake(spark, scratch(spark), **more)
     lake.bootstrap()
@@ -595,7 +600,7 @@ def object_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, **more) -> tuple[Config, Engine]:
-    config = Config(root=scratch(spark), wal_dir=tempfile.mkdtemp(prefix="shoalkv-log-"), memtable_max_bytes=1 << 30, **more)
+    config = Config(root=scratch(spark), wal_dir=log_folder(spark), memtable_max_bytes=1 << 30, **more)
     bootstrap(spark, config)
     return config, Engine.open(spark, config)
 
@@ -663,7 +668,7 @@ def file_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey + 1 AS lsn, 'supp' || s_suppkey AS pk, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS op, CASE WHEN s_suppkey % 4 <> 0 THEN 'n' || s_nationkey END AS value, true AS ordered FROM supplier WHERE s_suppkey + 1 > (SELECT max(s_suppkey) // 3 + 1 FROM supplier)")
 def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers appended to a log of small segments, its first third truncated, its tail torn: opened again above the watermark, and decoded as a DataFrame."""
-    folder = tempfile.mkdtemp(prefix="shoalkv-log-")
+    folder, shared, client = log_folder(spark), scratch(spark), objects.Client(spark)
     writer, _ = log.Log.open(folder, 512)
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").orderBy("s_suppkey")
     highest = 0
@@ -680,8 +685,9 @@ def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = starts == sorted(starts) and replay.max_lsn == highest + 1 and reopened.size_bytes() == sum(x.path.stat().st_size for x in log.list_segments(reopened.folder))
     reopened.close()
     known = [(r.lsn,) for r in replay.records]
-    decoded = log.log_frame(spark, folder, highest // 3 + 1) if spark.sparkContext.master.startswith("local") else spark.createDataFrame([(r.pk, r.lsn, int(r.op), r.value) for r in replay.records], MUTATION)
-    both = decoded.join(spark.createDataFrame(known, "lsn long"), "lsn")  # what the writer's replay and the executors' decoding agree on
+    for segment in log.list_segments(reopened.folder):  # the executors may not reach the log's own folder
+        client.put(f"{shared}/{segment.path.name}", segment.path.read_bytes())
+    both = log.log_frame(spark, shared, highest // 3 + 1).join(spark.createDataFrame(known, "lsn long"), "lsn")  # what the writer's replay and the executors' decoding agree on
     return shown(both.select("lsn", "pk", "op", "value", F.lit(ordered).alias("ordered")))
 
 

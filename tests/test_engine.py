@@ -8,6 +8,7 @@ from shoalkv.operators.memtable import DELETED, MISSING
 from shoalkv.plans.engine import bootstrap
 from shoalkv.plans.flush import CrashAt, Outcome
 from shoalkv.schema import CrashInjected, PublishConflict, StoreError, WriteStalled
+from shoalkv.sources.objects import Client
 
 
 def fill(engine, n=50):
@@ -274,7 +275,7 @@ def test_latency_is_charged_and_operations_are_traced(spark, settings):
 
 
 def test_objects(spark, tmp_path):
-    from shoalkv.sources.objects import Client, Store
+    from shoalkv.sources.objects import Store
 
     client, at = Client(spark), f"file:{tmp_path}/objects"
     client.put(f"{at}/a", b"0123456789")
@@ -351,3 +352,32 @@ def test_multi_get_tells_found_deleted_and_missing(opened, spark):
     keys = spark.createDataFrame([(b"a",), (b"b",), (b"c",), (b"d",), (b"a",)], "pk binary")
     got = sorted((bytes(r.pk), r.status, r.value and bytes(r.value)) for r in engine.multi_get(keys).collect())
     assert [g[:2] for g in got] == [(b"a", "Found"), (b"a", "Found"), (b"b", "Deleted"), (b"c", "Found"), (b"d", "Missing")]
+
+
+def test_a_path_without_a_scheme_is_the_default_file_systems(spark):
+    client = Client(spark)
+    assert client.local("/a/b") == "/a/b" and client.local("file:/a") == "/a" and client.local("hdfs://h/a") is None
+    client._plain_is_local = False
+    assert client.local("/a/b") is None and client.local("file:/a") == "/a"
+
+
+@pytest.mark.parametrize("able", [True, False])
+def test_a_write_that_fails_is_never_closed(able):
+    class Stream:
+        def write(self, data):
+            raise OSError("no room")
+
+        def hasCapability(self, name):
+            return able
+
+        def abort(self):
+            self.done.append("abort")
+
+        def close(self):
+            self.done.append("close")
+
+    stream = Stream()
+    stream.done = []
+    with pytest.raises(OSError):
+        Client._filled(stream, b"x")
+    assert stream.done == (["abort"] if able else [])
