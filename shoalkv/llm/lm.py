@@ -13,7 +13,8 @@ contexts follow from the sums. The model is all of them: no successor is left ou
 workers has a bound that doesn't depend on the corpus: the costs of the most frequent n-grams, 1 / SHARE at most. All
 others that a text has are looked up by a join: the sums are dealt by the two bytes before the coded one, so that a worker
 has every context of two bytes and more whole, builds the trie of some such contexts at a time (the shorter ones,
-65,792 successors at most, are sent), and costs the n-grams asked for. Successors of a longer context
+65,792 successors at most, are sent), and costs the n-grams asked for. A context with more than ``SPLIT`` n-grams is dealt by
+three bytes, and its own successors, 256 at most, are sent too; so no worker needs more than what follows three bytes at once. Successors of a longer context
 are successors of every shorter one, so exclusion needs no search: a node knows its suffix and
 what its own successors take away there.
 
@@ -48,6 +49,8 @@ HELD_WORDS = 400_000
 #: Bytes of context by which the sums are dealt to workers, and the n-grams of whole such contexts that one trie holds.
 DEALT = 2
 PIECE = 500_000
+#: N-grams of one dealt context, beyond which it is dealt by a byte more.
+SPLIT = 1_000_000
 #: Slots of a worker's table of n-grams it has scored already; their number changes no result.
 SLOTS = 20
 
@@ -282,8 +285,9 @@ def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _summed([(keys >> np.uint64(8), counts)])
 
 
-def _costs(order: int, low: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """Over rows (context, gram, n) sorted by context, n 0 for an n-gram asked for: the costs of those. ``low``: the strings below the dealt contexts."""
+def _costs(order: int, low: dict[int, tuple[np.ndarray, np.ndarray]], split: tuple[np.ndarray, np.ndarray]):
+    """Over rows (context, gram, n) sorted by context, n 0 for an n-gram asked for: the costs of those. ``low``: the strings below the
+    dealt contexts; ``split``: those of contexts that are dealt in parts, and so not whole here."""
 
     def costed(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         asked, kept = gram[n == 0], dict(low)
@@ -292,6 +296,12 @@ def _costs(order: int, low: dict[int, tuple[np.ndarray, np.ndarray]]):
         keys, counts = gram[n > 0], n[n > 0]
         for j in range(order, len(low) - 1, -1):
             kept[j] = keys, counts = _summed([(keys & np.uint64((1 << 8 * (j + 1)) - 1), counts)])
+        mine = np.isin(split[0] >> np.uint64(8), np.unique((gram >> np.uint64(8)) & np.uint64((1 << 8 * DEALT) - 1)))
+        if mine.any():
+            strings, sums = split[0][mine], split[1][mine]
+            keys, counts = kept[DEALT]
+            whole = ~np.isin(keys >> np.uint64(8), strings >> np.uint64(8))
+            kept[DEALT] = np.concatenate([keys[whole], strings]), np.concatenate([counts[whole], sums])
         trie = Trie(order, kept, {j: _contexts(*k) for j, k in kept.items()})
         for s in range(0, len(asked), 1 << 18):
             part = asked[s : s + (1 << 18)]
@@ -316,6 +326,20 @@ def _costs(order: int, low: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
+def _split(dealt: DataFrame, order: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """``dealt`` (context, gram, n), with crowded contexts dealt by a byte more; second: the strings of these contexts and their counts."""
+    if order <= DEALT:
+        return dealt, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    wide = 1 << 8 * (DEALT + 1)
+    crowded = dealt.groupBy("context").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > SPLIT)
+    crowded = written(crowded.select(F.col("context").alias("crowded")), "crowded")  # 65,536 rows at most
+    marked = dealt.join(F.broadcast(crowded), F.col("context") == F.col("crowded"), "left")
+    strings = marked.where("crowded is not null and n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(wide - 1)).alias("string")).agg(F.sum("n").alias("n")).toArrow()
+    longer = F.shiftright("gram", 8).bitwiseAND(F.lit(wide - 1)) + F.lit(wide)  # beyond the numbers of contexts that aren't split
+    parts_ = marked.select(F.when(F.col("crowded").isNull(), F.col("context")).otherwise(longer).alias("context"), "gram", "n")
+    return parts_, (strings.column("string").to_numpy().astype(np.uint64), strings.column("n").to_numpy().astype(np.int64))
+
+
 def _counted(df: DataFrame, text: str, order: int) -> DataFrame:
     rows = df.select(F.coalesce(df[f"`{text}`"].cast("string"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(_count_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -406,8 +430,9 @@ def score(df: DataFrame, training: DataFrame, text: str = "text", key: str = "do
     more = met.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("logs"))
     lost = first.select("row", F.explode("open").alias("o")).select("row", "o.gram", "o.times")
     context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * min(order, DEALT)) - 1)).alias("context")
-    dealt = counted.union(lost.select("gram").distinct().withColumn("n", F.lit(0).cast("long"))).select(context, "gram", "n")
-    costs = dealt.repartition("context").sortWithinPartitions("context").mapInArrow(_costs(order, _low(counted, order)), "gram long, cost double")
+    asked = written(lost.select("gram").distinct().withColumn("n", F.lit(0).cast("long")), "asked")
+    dealt, split = _split(counted.union(asked).select(context, "gram", "n"), order)
+    costs = dealt.repartition("context").sortWithinPartitions("context").mapInArrow(_costs(order, _low(counted, order), split), "gram long, cost double")
     paid = lost.join(written(costs, "costs"), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("paid"))
     return first.join(more, "row", "left").join(paid, "row", "left").select(
         "doc_id",

@@ -260,6 +260,20 @@ def test_ppm_words_beyond_the_sent_table_are_counted(spark, rows, monkeypatch):
     assert keyed(lm.evaluate(frame).withColumn("b", F.round("base_score", 6)), "doc_id", "n_known", "b") == whole
 
 
+@pytest.mark.parametrize("split", [0, 40])
+def test_ppm_of_crowded_contexts(spark, rows, monkeypatch, split):
+    """All or some contexts dealt by a byte more, nothing sent apart, small tries: the scores are those of brute force."""
+    monkeypatch.setattr(lm, "SHARE", 1)
+    monkeypatch.setattr(lm, "PIECE", 300)
+    monkeypatch.setattr(lm, "SPLIT", split)
+    small = [r for r in rows if len(r[1] or "") < 900][:40] + [(900, "zzz \x00\x00\x00\x00 Ω 漢", "en", "s", 0)]
+    training = [r[1] for r in small if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
+    got = sorted((str(r.doc_id), r.score) for r in lm.evaluate(spark.createDataFrame(small, SCHEMA)).collect())
+    want = sorted((str(r[0]), ppm_brute(training, r[1], lm.ORDER)) for r in small)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-6)
+
+
 @pytest.mark.parametrize("share", [1e-6, 1e-4])
 def test_ppm_keeps_rare_strings_of_a_larger_corpus(spark, monkeypatch, share):
     """A corpus of more bytes than 1 / SHARE, of strings that mostly occur once, is scored as if nothing were sent apart."""
