@@ -266,7 +266,8 @@ def test_ppm_of_crowded_contexts(spark, rows, monkeypatch, split):
     monkeypatch.setattr(lm, "SHARE", 1)
     monkeypatch.setattr(lm, "PIECE", 300)
     monkeypatch.setattr(lm, "SPLIT", split)
-    small = [r for r in rows if len(r[1] or "") < 900][:40] + [(900, "zzz \x00\x00\x00\x00 Ω 漢", "en", "s", 0)]
+    rng = random.Random(5)
+    small = [r for r in rows if len(r[1] or "") < 900][:40] + [(900 + i, " ".join(f"{rng.getrandbits(24):x}" for _ in range(60)), "en", "s", 0) for i in range(14)]
     training = [r[1] for r in small if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
     with common.settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "100"}):  # so that a partition has many tries
         got = sorted((str(r.doc_id), r.score) for r in lm.evaluate(spark.createDataFrame(small, SCHEMA)).collect())
