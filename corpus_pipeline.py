@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoalkv.llm import bpe, dedup, mixing, quality, registry, simhash
+from shoalkv.llm import bpe, dedup, mixing, near, quality, registry
 from shoalkv.llm.common import written
 
 #: Near copies share this much of their five-word shingles, by an estimate that is some 0.01 off.
@@ -26,8 +26,8 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. Operator 8's form for shingles (``near``), as fingerprints don't find a similarity of 0.8."""
-    return simhash.survivors(docs, similarity=SIMILARITY)
+    """One document of each group of near copies stays: the one with the smallest id. Operator 8 (SimHash, signatures with a bit left out) with several fingerprints, and a check of similarity."""
+    return near.survivors(docs, similarity=SIMILARITY)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,21 @@
 """Near copies by the similarity of their five-word shingles: the pipeline's form of operator 8.
 
-Fingerprints of shingles lie too far apart for deletion-variant signatures at a similarity of 0.8 (some ten bits of 64),
-so this stage finds its candidates otherwise, and ``simhash`` keeps the method for fingerprints that differ in a few bits.
+One fingerprint of all shingles is too far off at a similarity of 0.8 (some ten bits of 64), so a set has ``PRINTS``
+weighted ones. In each a shingle weighs ``max(t, 2) ** -1.5``, with t a hash of the shingle and the fingerprint's number, from 0 to the
+size of the set: a few shingles make up most of a fingerprint, others in each, and no single one does, however common it is. Two sets of similarity 0.8
+agree in one segment of a fingerprint, but for a bit at most, in some 0.38 of cases, wherever the edits are; unrelated sets hardly ever. Weights are whole numbers, so that sums are exact in any order.
 
-Candidates: 20 bands of four least hashes (MinHash); two sets of similarity s share a band with probability
-1 - (1 - s ** 4) ** 20, 0.99998 at 0.8, wherever the edits are. Each candidate pair is verified by a sketch: the hashes
+Candidates are found as in ``simhash``: a fingerprint has two segments of 32 bits, each of which is indexed once for each of its bits with that bit left
+out, and equal signatures meet. Rows are dealt by the half of the segment that has no bit left out, and the sixteen
+signatures over the other half are made and compared where they meet, so four rows a fingerprint are shuffled and not 64. Of the values of that half, those
+joined by signatures form one bucket of candidates. Up to ``HELD`` rows that share a half are held by one worker; of more, the distinct values alone (65,536 at most).
+
+Each candidate pair is verified by counting differing bits of a finer sketch: the hashes
 are dealt to 1,024 bins, and of each bin the sketch has whether it is empty and one bit of its least hash. The share of
 bins that agree estimates the similarity, to about 0.01 for texts of a few hundred words. A pair counts from ``SLACK`` below the limit
 on, so that the error costs few pairs above it.
 
-All links count, at any size of a bucket. Documents with one set of shingles are one node throughout, and bands with the same members
+All links count, at any size of a bucket. Documents with one set of shingles are one node throughout, and signatures with the same members
 are one bucket. A bucket of up to ``BUCKET`` nodes is held by one worker and searched breadth first: a node found is compared with
 those not yet found, so near copies of one text cost a look or two each. A larger bucket is dealt into blocks by the nodes'
 hash, over tasks; each block sends a spanning forest. What is left is to compare nodes of different components: all nodes outside of
@@ -34,9 +40,14 @@ from pyspark.sql import functions as F
 
 from . import components
 from .common import document, sent, slices, written
+from .simhash import buckets, masks
 
 SEED = 42
-SHINGLE, BANDS, ROWS = 5, 20, 4
+SHINGLE, PRINTS = 5, 16
+#: Shingles weighed at once.
+STRETCH = 192
+#: Rows of one half of a segment (sixteen bytes each) that a worker holds.
+HELD = 1 << 20
 #: Bins of a sketch, a power of two, and how far below the limit an estimate may lie.
 BINS, SLACK = 1024, 0.01
 #: Nodes that one task holds of a bucket.
@@ -46,7 +57,8 @@ BROADCAST = 500_000
 MEMO = 300_000
 
 _WORDS = BINS // 64
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PRINTS), np.uint64) | np.uint64(1)
+_MASKS = np.array(masks(0), np.int64).view(np.uint64)
 _PLACE = np.random.default_rng(SEED + 1).integers(0, 1 << 63, SHINGLE, np.uint64) | np.uint64(1)
 
 
@@ -77,13 +89,22 @@ def shingled(text: bytes, memo: dict, k: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
+def fingerprints(h: np.ndarray) -> np.ndarray:
+    """Of the set with these hashes, bit by bit, whether it is set in shingles of more than half of the weight; zero without shingles."""
+    ones, total = np.zeros((PRINTS, 64)), np.zeros((PRINTS, 1))
+    for s in range(0, len(h), STRETCH):
+        part = h[s : s + STRETCH]
+        u = (((part[None, :] ^ _MIX[0][:, None]) * _MIX[1][:, None]) >> np.uint64(32)).astype(np.float64)
+        t = np.maximum(u * (len(h) / 2.0**32), 2)
+        weight = np.floor(2.0**40 / (t * np.sqrt(t)))
+        ones += weight @ np.unpackbits(_mixed(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+        total += weight.sum(axis=1, keepdims=True)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def bands(h: np.ndarray) -> list[int]:
-    """A hash for each band of the set with these hashes."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for s in range(0, len(h), 1 << 12):
-        each = (h[None, s : s + (1 << 12)] ^ _MIX[0][:, None]) * _MIX[1][:, None]
-        least = np.minimum(least, each.min(axis=1))
-    return [xxhash.xxh3_64_intdigest(r.tobytes(), SEED) - (1 << 63) for r in least.reshape(BANDS, ROWS)]
+    """The signatures of the set with these hashes: sets with the same one in the same place are candidates."""
+    return (fingerprints(h)[:, None] & _MASKS).ravel().tolist()
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -118,6 +139,73 @@ def searched(prints: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
+def _values(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over rows sorted by key: for each a number and a signature, the same for rows of a key whose ``rest`` (16 bits) are joined by values that agree but for a bit."""
+    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    code, at = np.unique(group << 16 | rest, return_inverse=True)
+    a, b = [], []
+    for bit in range(16):
+        left = code & ~(1 << bit)
+        order = np.argsort(left, kind="stable")
+        same = np.flatnonzero(left[order[1:]] == left[order[:-1]])
+        a.append(order[same])
+        b.append(order[same + 1])
+    a, b, label = np.concatenate(a), np.concatenate(b), np.arange(len(code))
+    while (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+    label = label[at]
+    first = (code[label] & 0xFFFF).astype(np.uint64)
+    return label, _mixed(_mixed(key.view(np.uint64)) + first).view(np.int64)
+
+
+def _met(held: int):
+    """Over rows (key, node, rest) sorted by key: rows (sig, node) of candidates, and rows of large keys as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, large = None, False  # the last key, and whether it came in parts
+        for key, node, rest in buckets(batches, held):
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(at, len(key)))
+            over = sizes > held
+            over[0] |= large and key[0] == before
+            before, large = key[-1], bool(over[-1])
+            rows = np.repeat(over, sizes)
+            if over.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows]), pa.array(rest[rows])], names=["sig", "node", "rest"])
+            rows = np.repeat(~over & (sizes > 1), sizes)
+            if not rows.any():
+                continue
+            label, sig = _values(key[rows], rest[rows])
+            several = np.bincount(label)[label] > 1
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(sig[several]), pa.array(node[rows][several]), pa.nulls(int(several.sum()), pa.int32())], names=["sig", "node", "rest"])
+
+    return run
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over distinct rows (key, rest) sorted by key: the same with their signatures."""
+    for key, rest in buckets(batches, float("inf")):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest), pa.array(_values(key, rest)[1])], names=["key", "rest", "sig"])
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``nodes`` has ``node`` and ``prints`` (fingerprints as signed longs), each node once; returns ``sig``, ``node``: nodes with one ``sig`` are candidates."""
+    part = [F.shiftrightunsigned("print", 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
+    rows = F.array(*[F.struct(F.xxhash64("at", F.lit(q), part[q]).alias("key"), part[q ^ 1].cast("int").alias("rest")) for q in range(4)])
+    each = nodes.select("node", F.posexplode("prints").alias("at", "print")).select("node", F.explode(rows).alias("x")).select("x.key", "node", "x.rest")
+    met = written(each.repartition("key").sortWithinPartitions("key").mapInArrow(_met(HELD), "sig long, node long, rest int"), "met")
+    found = met.where("rest is null").select("sig", "node")
+    large = met.where("rest is not null").select(F.col("sig").alias("key"), "node", "rest")
+    if large.isEmpty():
+        return found
+    values = large.select("key", "rest").distinct().repartition("key").sortWithinPartitions("key")
+    named = written(values.mapInArrow(_named, "key long, rest int, sig long"), "values")
+    return found.union(written(large.join(named, ["key", "rest"]).select("sig", "node"), "met"))
+
+
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows sorted by their first column, in tables of whole groups."""
     held: list[pa.RecordBatch] = []
@@ -206,14 +294,17 @@ def _blocks(rows: Column, size: int) -> Column:
 
 
 def linked(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``nodes`` has ``node``, ``bands`` and ``sketch``, each node once; returns links ``a``, ``b`` that keep the components."""
-    least = similarity - SLACK
+    """``nodes`` has ``node``, ``bands`` (keys of buckets by place) and ``sketch``, each node once; returns links ``a``, ``b`` that keep the components."""
     each = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    keyed = each.select(F.xxhash64("band", "key").alias("sig"), "node")
+    return verified(each.select(F.xxhash64("band", "key").alias("sig"), "node"), nodes.select("node", "sketch"), similarity)
+
+
+def verified(keyed: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The links ``a``, ``b``, enough to keep the components, of nodes with one ``sig`` in ``keyed`` (sig, node) whose ``sketches`` (node, sketch) are similar."""
+    least = similarity - SLACK
     members = F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1L))").alias("y"), F.count(F.lit(1)).alias("n")
     buckets = keyed.groupBy("sig").agg(*members).where("n > 1").groupBy("x", "y", "n").agg(F.min("sig").alias("sig"))
     buckets = written(buckets.select("sig", "n"), "buckets")
-    sketches = nodes.select("node", "sketch")
 
     def forests(rows: DataFrame, name: str) -> DataFrame:
         ready = rows.join(sketches, "node").select("sig", "node", "sketch").repartition("sig").sortWithinPartitions("sig")
@@ -242,7 +333,7 @@ def linked(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Per row of ``df``: doc_id, stamp (a hash of its text), node (a hash of its set of shingles), bands, sketch."""
+    """Per row of ``df``: doc_id, stamp (a hash of its text), node (a hash of its set of shingles), prints, sketch."""
     rows = document(df, text, key)
     rows = rows.select("doc_id", F.xxhash64("text").alias("stamp"), rows.text.cast("binary").alias("text"))
 
@@ -252,19 +343,19 @@ def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
             sets = [shingled(x, memo) for x in batch.column(2).to_pylist()]
             made = [
                 pa.array([xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in sets], pa.int64()),
-                pa.array([bands(h) for h in sets], pa.list_(pa.int64())),
+                pa.array([fingerprints(h).view(np.int64) for h in sets], pa.list_(pa.int64())),
                 pa.array([sketch(h) for h in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "stamp", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "stamp", "node", "prints", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, stamp long, node long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, stamp long, node long, prints array<long>, sketch binary")
 
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """One row per row of ``df``: doc_id, stamp, component_id (the smallest id among its near copies), first (whether it is its group's first document)."""
     rows = written(_sketched(df, text, key), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    roots = components.roots(linked(nodes, similarity))
+    nodes = written(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.first("sketch").alias("sketch")), "nodes")
+    roots = components.roots(verified(candidates(nodes), nodes.select("node", "sketch"), similarity))
     named = rows.select("doc_id", "stamp", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named.select("doc_id", "stamp", "root"), "rooted")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "stamp")

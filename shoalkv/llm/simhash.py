@@ -15,7 +15,8 @@ bits, then pairs of bits). After three cuts at most 8 + 3 bits are free, so no b
 can hold more than 2,048 distinct fingerprints: all links are found at any skew, in
 bounded memory, with no cap. Equal fingerprints are one node throughout.
 
-Near copies by the similarity of their shingles, which fingerprints can't find at 0.8, are in ``near``.
+Near copies by the similarity of their shingles, which one fingerprint can't find at 0.8, are in ``near``: several
+fingerprints by this method, and a check.
 
 Defined cases: null text counts as empty; a text with fewer words than a shingle
 has one shingle, its whole sequence; one without words has fingerprint zero, linked
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 
 from . import components
 from .common import document, sent, slices, written
-from .near import survivors  # noqa: F401  the same operator, by the similarity of shingles
 
 SEED = 42
 BUCKET = 2048
@@ -124,12 +124,12 @@ def local_forest(prints: np.ndarray, bits: int) -> np.ndarray:
         label = least
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (sig, node) sorted by sig, in whole buckets; a bucket over ``limit`` comes in parts, of more than ``limit`` in all."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket so far
+def buckets(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by the first, in whole buckets of it; a bucket over ``limit`` comes in parts, of more than ``limit`` in all."""
+    held: list[tuple[np.ndarray, ...]] = []  # of the last bucket so far
     size, over = 0, None
 
-    def out() -> tuple[np.ndarray, np.ndarray]:
+    def out() -> tuple[np.ndarray, ...]:
         nonlocal size
         parts, size = held.copy(), 0
         held.clear()
@@ -138,18 +138,21 @@ def _buckets(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[tuple[
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rows = [x.to_numpy() for x in batch.columns]
+        sig = rows[0]
         if held and held[0][0][0] != sig[0]:
             yield out()
         at = int(np.searchsorted(sig, sig[-1]))
         if at:
-            held.append((sig[:at], node[:at]))
+            held.append(tuple(x[:at] for x in rows))
             yield out()
-        held.append((sig[at:], node[at:]))
+        held.append(tuple(x[at:] for x in rows))
         size += len(sig) - at
         if size > limit or over == sig[-1]:
             over = sig[-1]
             yield out()
+    if held:
+        yield out()
 
 
 def _sweep(bits: int, last: bool):
@@ -157,7 +160,7 @@ def _sweep(bits: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, large = None, False  # the last bucket, and whether it came in parts
-        for sig, node in _buckets(batches, math.inf if last else BUCKET):
+        for sig, node in buckets(batches, math.inf if last else BUCKET):
             at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             sizes = np.diff(np.append(at, len(sig)))
             over = np.zeros(len(at), bool) if last else sizes > BUCKET

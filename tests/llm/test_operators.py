@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -677,6 +678,71 @@ def test_searching_finds_every_component():
     assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(200) for j in range(200))
 
 
+def test_fingerprints_of_sets():
+    """Bit by bit, whether it is set in more than half of the weight, whatever the stretch; within three bits a signature is shared."""
+    memo, rng = near._Hashes(), random.Random(5)
+    for n in (1, 3, 12, 700):
+        h = near.shingled(prose(rng, n, 400).encode(), memo)
+        bits, want = near._mixed(h).tolist(), []
+        for x, m in near._MIX.T.tolist():
+            t = [max(((v ^ x) * m % 2**64 >> 32) * len(h) / 2**32, 2) for v in h.tolist()]
+            weight = [int(2**40 / (a * a**0.5)) for a in t]
+            want.append(sum(1 << b for b in range(64) if 2 * sum(w for w, v in zip(weight, bits, strict=True) if v >> b & 1) > sum(weight)))
+        assert near.fingerprints(h).tolist() == want and len(set(want)) == (near.PRINTS if n > 100 else len(set(want)))
+    assert near.fingerprints(np.zeros(0, np.uint64)).tolist() == [0] * near.PRINTS
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 3):
+            b ^= 1 << bit
+        assert (np.uint64(a) & near._MASKS == np.uint64(b) & near._MASKS).any()
+
+
+@pytest.mark.parametrize("limit", [1, 3, 100])
+def test_buckets_hold_every_row(limit):
+    """The last bucket of a partition too."""
+    sig, node = np.array([1, 1, 2, 3, 3, 3, 3, 9, 9]), np.arange(9)
+    for step in (1, 2, 4, 9):
+        batches = [pa.RecordBatch.from_arrays([pa.array(sig[s : s + step]), pa.array(node[s : s + step])], names=["sig", "node"]) for s in range(0, 9, step)]
+        got = list(simhash.buckets(iter(batches), limit))
+        assert np.concatenate([x for x, _ in got]).tolist() == sig.tolist() and np.concatenate([x for _, x in got]).tolist() == node.tolist()
+
+
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_candidates_meet_by_signatures(spark, monkeypatch, held):
+    """Two nodes meet just if a segment has one half equal and the other joined by values that agree but for a bit; by looking at every pair."""
+    monkeypatch.setattr(near, "HELD", held)
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    prints = []
+    for i in range(120):
+        own = []
+        for p in range(2):
+            x = base[(i + p) % 4] ^ (rng.getrandbits(32) << 32 * rng.randrange(2) if i % 3 else 0)
+            for bit in rng.sample(range(64), rng.randrange(5)):
+                x ^= 1 << bit
+            own.append(x)
+        prints.append(own)
+    want = set()
+    for p in range(2):
+        for q in range(4):
+            groups = {}
+            for i, own in enumerate(prints):
+                groups.setdefault(own[p] >> 16 * q & 0xFFFF, []).append((i, own[p] >> 16 * (q ^ 1) & 0xFFFF))
+            for rows in groups.values():
+                joined = linked([r for _, r in rows], list(range(len(rows))), 1)
+                want |= {(i, j) for (i, _), x in zip(rows, joined, strict=True) for (j, _), y in zip(rows, joined, strict=True) if i < j and x == y}
+    signed = [(i, [x - (1 << 64) if x >> 63 else x for x in own]) for i, own in enumerate(prints)]
+    found = near.candidates(spark.createDataFrame(signed, "node long, prints array<long>").repartition(4)).collect()
+    buckets = {}
+    for r in found:
+        buckets.setdefault(r.sig, set()).add(r.node)
+    got = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
+    assert got == want and 100 < len(want) < 120 * 119 / 2
+    # Every pair within three bits in a fingerprint is among them.
+    assert {(i, j) for i in range(120) for j in range(i + 1, 120) if any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j], strict=True))} <= got
+
+
 def recall_by_band(pairs_of_texts):
     """Of pairs by their exact similarity in steps of 0.05: how many there are, and the share that is linked."""
     memo, found = near._Hashes(), {}
